@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing
+from . import htmltext, langid, mixing, packing, pii, topk
 from .common import table
 
 
@@ -17,6 +17,24 @@ def op2_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op7_pii(spark, sf_dir):
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op8_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    found = langid.identify(docs, keep=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op10_main_text(spark, sf_dir):
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -57,9 +75,24 @@ FROM counted
 """
 
 
+OP6_SQL = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, p.vec_id,
+         list_sum(list_transform(list_zip(q.v, p.v), lambda x: x[1] * x[2]))::BIGINT AS score
+  FROM (SELECT DISTINCT vec_id, v FROM rows WHERE vec_id % 50 = 0) q JOIN rows p ON q.vec_id <> p.vec_id AND len(q.v) = len(p.v)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def queries():
     return {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
 
 
 def oracle_sql():
-    return {"op1_mix": OP1_SQL}
+    return {"op1_mix": OP1_SQL, "op6_topk": OP6_SQL}
