@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, mixing, packing, pii, topk
+from . import htmltext, langid, licences, media, mixing, packing, pii, topk
 from .common import table
 
 
@@ -17,6 +17,14 @@ def op2_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_licences(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_media(spark, sf_dir):
+    return media.described(media.store(table(spark, sf_dir, "documents")))
+
+
 def op6_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -75,6 +83,31 @@ FROM counted
 """
 
 
+def _sql_text(value):
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _canonical_sql(text):
+    words = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), '{licences.COPYRIGHT_LINE}', ' ', 'g'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')) || ' '"
+    plain = words
+    for other, one in licences.SPELLINGS:
+        plain = f"replace({plain}, ' {other} ', ' {one} ')"
+    return f"trim(CASE WHEN regexp_matches({words}, 'licen|permission|copyright|redistribut|warrant|public|spdx|reserved') THEN {plain} ELSE {words} END)"
+
+
+OP4_SQL = f"""
+WITH texts(licence, text) AS (VALUES {", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in licences.KNOWN)}),
+known AS (SELECT DISTINCT licence, md5({_canonical_sql("text")}) AS digest FROM texts),
+parts AS (
+  SELECT doc_id, true AS whole, -1 AS line, text AS unit FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, false, unnest(range(len(string_split(text, chr(10)))))::INT, unnest(string_split(text, chr(10)))
+  FROM documents WHERE contains(text, chr(10))),
+units AS (SELECT doc_id, whole, line, {_canonical_sql("unit")} AS canonical FROM parts)
+SELECT doc_id, licence, bool_or(whole) AS whole, count(*) AS n_units, min(CASE WHEN NOT whole THEN line END) AS first_line
+FROM units JOIN known ON md5(canonical) = digest AND canonical <> '' GROUP BY doc_id, licence
+"""
+
 OP6_SQL = """
 WITH rows AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
@@ -95,4 +128,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_mix": OP1_SQL, "op6_topk": OP6_SQL}
+    return {"op1_mix": OP1_SQL, "op4_licences": OP4_SQL, "op6_topk": OP6_SQL}
