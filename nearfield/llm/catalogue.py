@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, licences, media, mixing, packing, pii, topk
+from . import htmltext, langid, licences, linededup, media, mixing, packing, pii, topk
 from .common import table
 
 
@@ -17,6 +17,12 @@ def op2_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_lines(spark, sf_dir):
+    found = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    shown = F.array_join(F.transform("removed", lambda s: F.concat_ws("-", s["first"], s["last"])), ",")
+    return found.select("doc_id", "text", "n_lines", "removed_lines", shown.alias("removed"))
+
+
 def op4_licences(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -88,11 +94,10 @@ def _sql_text(value):
 
 
 def _canonical_sql(text):
-    words = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), '{licences.COPYRIGHT_LINE}', ' ', 'g'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')) || ' '"
-    plain = words
-    for other, one in licences.SPELLINGS:
-        plain = f"replace({plain}, ' {other} ', ' {one} ')"
-    return f"trim(CASE WHEN regexp_matches({words}, 'licen|permission|copyright|redistribut|warrant|public|spdx|reserved') THEN {plain} ELSE {words} END)"
+    words = f"trim(regexp_replace(regexp_replace(lower({text}), '{licences.COPYRIGHT_LINE}', ' ', 'g'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
+    table = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in licences.SPELLINGS) + "}"
+    plain = f"array_to_string(list_transform(string_split({words}, ' '), lambda w: coalesce({table}[w], w)), ' ')"
+    return f"CASE WHEN regexp_matches({words}, 'licen|permission|copyright|redistribut|warrant|public|spdx|reserved') THEN {plain} ELSE {words} END"
 
 
 OP4_SQL = f"""

@@ -27,8 +27,7 @@ SPELLINGS = (
     ("organise", "organize"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"),
     ("recognise", "recognize"), ("redistributions", "redistribution"), ("sublicence", "sublicense"),
     ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("noncommercial", "non commercial"),
-    ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("per cent", "percent"),
-    ("https", "http"), ("v2", "version 2"), ("v3", "version 3"),
+    ("owner", "holder"), ("owners", "holders"), ("https", "http"), ("v2", "version 2"), ("v3", "version 3"),
 )
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
@@ -63,14 +62,14 @@ KNOWN = (
 def canonical(text: Column) -> Column:
     """The normalised form: words of ASCII letters and digits, and other letters, in one spelling."""
     lines = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(lines, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
+    words = F.trim(F.regexp_replace(lines, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+
+    table = F.create_map(*[F.lit(w) for pair in SPELLINGS for w in pair])
 
     def one_spelling(own: Column) -> Column:
-        plain = own
-        for other, one in SPELLINGS:
-            plain = F.replace(plain, F.lit(f" {other} "), F.lit(f" {one} "))
+        plain = F.array_join(F.transform(F.split(own, " "), lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
         # spellings are looked up only in what may be a licence text; all else keeps its words
-        return F.trim(F.when(own.rlike("licen|permission|copyright|redistribut|warrant|public|spdx|reserved"), plain).otherwise(own))
+        return F.when(own.rlike("licen|permission|copyright|redistribut|warrant|public|spdx|reserved"), plain).otherwise(own)
 
     # as a lambda's argument, the words are computed once
     return F.element_at(F.transform(F.array(words), one_spelling), 1)
