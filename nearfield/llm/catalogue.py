@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, licences, linededup, media, mixing, packing, pii, topk
+from . import htmltext, jaccard, langid, licences, linededup, media, mixing, packing, pii, topk
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op8_language(spark, sf_dir):
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op9_near(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_id", "n_links")
+
+
 def op10_main_text(spark, sf_dir):
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
