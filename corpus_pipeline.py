@@ -1,6 +1,54 @@
-STAGES = []
+"""A training corpus from raw documents: language ID, line dedup, near-duplicate removal, mixing and packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearfield.llm import jaccard, langid, linededup, mixing, packing
+from nearfield.llm.common import stored, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in one of the languages learned from their labels; those without letters go."""
+    names = docs.columns
+    found = langid.identify(docs, keep=tuple(names))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("foreign")).select(*names)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs; those of which nothing is left go."""
+    found = linededup.dedup(docs)
+    left = found.where((F.col("removed_lines") == 0) | F.col("text").rlike(r"\S"))
+    counted = left.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+    return counted.select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard.representatives(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix of sources, in training order, repeats included."""
+    return mixing.mixture(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.pack(docs)
+
+
+STAGES = [("language", language), ("lines", lines), ("near", near), ("mix", mix), ("pack", pack)]
+#: The stages hash, train and tokenise; SQL can't express them. tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage but the last is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs)
+    return docs

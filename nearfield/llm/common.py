@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-import zlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,17 +14,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors and the driver share."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df from the shared checkpoint folder, so that a lost executor costs no earlier stage.
 
     The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a local folder is made.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read again."""
+    path = f"{shared(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -35,7 +48,3 @@ def text_key(*columns: Column | str) -> Column:
     parts = [F.col(c) if isinstance(c, str) else c for c in columns]
     sides = [F.lpad(F.hex(F.xxhash64(F.lit(seed), *parts, *[p.isNull() for p in parts])), 16, "0") for seed in (11, 29)]
     return F.unhex(F.concat(*sides))
-
-
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFFFFFF

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, text_key
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Shapes by rank of the source, repeating; each has integral 1: (t, factor) knots of a piecewise linear function.
@@ -112,3 +112,15 @@ def training_order(mixed: DataFrame, shapes=SHAPES) -> DataFrame:
     uses = mixed.where("copies > 0").withColumn("use", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     demand = F.least((F.col("start") + F.col("use") * F.col("source_size")) / F.col("target"), F.lit(1.0))
     return uses.withColumn("position", F.round(due(demand, F.col("rank"), shapes), 9)).orderBy("position", "doc_id", "use")
+
+
+def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, shapes=SHAPES, budget: float = 1.5, repeats: int = 2) -> DataFrame:
+    """The documents of the mix in training order, with the columns of docs: a row for every use of a document.
+
+    Sizes and places are worked out without the texts, which join by a key of the row at the end.
+    """
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text", text_key("doc_id", "source", "text").alias("row_key"))
+    uses = training_order(mix(keyed, weights, shapes, budget, repeats, carry=["row_key"]), shapes).select("row_key", "position", "doc_id", "use")
+    # equal rows have one key and are each in uses
+    rows = keyed.select("row_key", "row").groupBy("row_key").agg(F.first("row").alias("row"))
+    return uses.join(rows, "row_key").orderBy("position", "doc_id", "use").select("row.*")
