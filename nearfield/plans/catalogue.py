@@ -1,11 +1,498 @@
-"""The registered queries of the reference's operators and their SQL."""
+"""The registered queries of the similarity operators, and their SQL. Queries of a search: ids divisible by 50, against all rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import distances as D
+from ..functions import vectors as V
+from ..operators import evaluate, graph, inverted, joins, search, select
+
+K = 10
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+
+
+def asked(objects: DataFrame) -> DataFrame:
+    return objects.where(F.col("id") % 50 == 0).withColumnRenamed("id", "qid")
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        Q[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def shown(hits: DataFrame, *keep: str) -> DataFrame:
+    """Distances rounded for comparison, after ranking by the unrounded ones."""
+    return hits.select(*(keep or ("qid", "id", "rank")), (F.round("dist", 6) + F.lit(0.0)).alias("dist"))
+
+
+EMB = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"
+ZIP = "list_zip(a.v, b.v)"
+TERM = {
+    "l1": f"list_sum(list_transform({ZIP}, lambda x: abs(x[1] - x[2])))",
+    "l2": f"sqrt(list_sum(list_transform({ZIP}, lambda x: (x[1] - x[2]) * (x[1] - x[2]))))",
+    "sql2": f"list_sum(list_transform({ZIP}, lambda x: (x[1] - x[2]) * (x[1] - x[2])))",
+    "linf": f"list_max(list_transform({ZIP}, lambda x: abs(x[1] - x[2])))",
+    "lp3": f"pow(list_sum(list_transform({ZIP}, lambda x: pow(abs(x[1] - x[2]), 3))), 1.0 / 3)",
+    "cosine": "list_cosine_distance(a.v, b.v)",
+    "normcosine": "1 - list_inner_product(a.v, b.v)",
+    "angle": "acos(greatest(-1, least(1, list_cosine_similarity(a.v, b.v))))",
+    "normangle": "acos(greatest(-1, least(1, list_inner_product(a.v, b.v))))",
+}
+
+
+def knn_sql(term: str, k: int = K, where: str = "true") -> str:
+    return f"""h AS (SELECT a.id AS qid, b.id AS id, {term} AS d FROM e a JOIN e b ON a.id % 50 = 0 AND {where}),
+    r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank, d FROM h)"""
+
+
+for _name, _dist in D.VECTORS.items():
+    Q[f"knn_{_name}"] = lambda s, d, dist=_dist: shown(search.knn(asked(vectors(s, d)), vectors(s, d), dist, K))
+    SQL[f"knn_{_name}"] = f"WITH {EMB}, {knn_sql(TERM[_name])} SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}"
+
+
+@query(f"WITH {EMB}, {knn_sql(TERM['l2'])} SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}")
+def knn_l2_expression(s, d):
+    return shown(search.knn_expression(asked(vectors(s, d)), vectors(s, d), D.L2, K))
+
+
+@query(f"WITH {EMB}, {knn_sql(TERM['l2'])} SELECT qid, id, round(d, 6) + 0.0::DOUBLE AS dist FROM h WHERE d <= 1.3")
+def range_l2(s, d):
+    return shown(search.within(asked(vectors(s, d)), vectors(s, d), D.L2, 1.3), "qid", "id")
+
+
+@query(f"""WITH {EMB}, h AS (SELECT a.id AS qid, b.id AS id, {TERM['l2']} AS d FROM e a JOIN e b ON a.id % 50 = 0),
+r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank, d FROM h WHERE qid % 100 = 0 OR d <= 1.35)
+SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE qid % 100 <> 0 OR rank <= 4""")
+def knn_mixed_k_radius(s, d):
+    q = asked(vectors(s, d)).withColumn("k", F.when(F.col("qid") % 100 == 0, 4)).withColumn("radius", F.when(F.col("qid") % 100 != 0, 1.35))
+    return shown(search.mixed(q, vectors(s, d), D.L2))
+
+
+@query(f"""WITH {EMB}, h AS (SELECT a.id AS qid, b.id AS id, {TERM['l2']} AS d FROM e a, e b),
+r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank, d FROM h)
+SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= 5""")
+def allknn_l2(s, d):
+    return shown(search.allknn(vectors(s, d), D.L2, 5))
+
+
+@query(f"""WITH {EMB}, {knn_sql(TERM['l1'], 20)}, c AS (SELECT qid, id FROM r WHERE rank <= 20),
+n AS (SELECT qid, c.id, {TERM['l2']} AS d FROM c JOIN e a ON a.id = c.qid JOIN e b ON b.id = c.id),
+m AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank, d FROM n)
+SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM m WHERE rank <= {K}""")
+def rerank_l2_from_l1(s, d):
+    e = vectors(s, d)
+    return shown(search.rerank(search.knn(asked(e), e, D.L1, 20), asked(e), e, D.L2, K))
+
+
+RECALL_SQL = f"""WITH {EMB}, {knn_sql(TERM['l2'])},
+h1 AS (SELECT a.id AS qid, b.id AS id, {TERM['l1']} AS d FROM e a JOIN e b ON a.id % 50 = 0),
+r1 AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM h1)
+SELECT g.qid, count(f.id) / {K}.0::DOUBLE AS recall FROM r g LEFT JOIN (SELECT * FROM r1 WHERE rank <= {K}) f ON g.qid = f.qid AND g.id = f.id WHERE g.rank <= {K} GROUP BY g.qid"""
+
+
+@query(RECALL_SQL)
+def recall_l1_vs_l2(s, d):
+    e = vectors(s, d)
+    return search.recall(search.knn(asked(e), e, D.L2, K), search.knn(asked(e), e, D.L1, K))
+
+
+@query("SELECT avg(recall) AS recall FROM (" + RECALL_SQL + ")")
+def macro_recall(s, d):
+    e = vectors(s, d)
+    return evaluate.macro_recall(search.knn(asked(e), e, D.L2, K), search.knn(asked(e), e, D.L1, K))
+
+
+@query("SELECT p.pos, e.vec_id AS id FROM (SELECT unnest([7, 3, 7, 11]) AS id, unnest([0, 1, 2, 3]) AS pos) p JOIN embeddings e ON e.vec_id = p.id")
+def subset_by_ids(s, d):
+    wanted = s.createDataFrame([(0, 7), (1, 3), (2, 7), (3, 11)], "pos int, id long")
+    return vectors(s, d).select("id").join(F.broadcast(wanted), "id").select("pos", "id")
+
+
+@query(f"WITH {EMB}, {knn_sql(TERM['l2'])} SELECT qid, min_by(id, d) AS nearest, min(d)::DECIMAL(12,6)::DOUBLE AS least, max_by(id, d) AS frontier, max(d)::DECIMAL(12,6)::DOUBLE AS covradius FROM r WHERE rank <= {K} GROUP BY qid")
+def container_bounds(s, d):
+    e = vectors(s, d)
+    hits = search.knn(asked(e), e, D.L2, K)
+    first, last = F.struct("dist", "id"), F.struct("dist", "id")
+    return hits.groupBy("qid").agg(F.min(first)["id"].alias("nearest"), F.round(F.min("dist"), 6).alias("least"), F.max(last)["id"].alias("frontier"), F.round(F.max("dist"), 6).alias("covradius"))
+
+
+# Joins of two sides: even labels are left, odd ones right.
+SIDES = "l AS (SELECT * FROM e WHERE label % 2 = 0), g AS (SELECT * FROM e WHERE label % 2 = 1)"
+
+
+def sides(s, d):
+    e = vectors(s, d)
+    return e.where(F.col("label") % 2 == 0), e.where(F.col("label") % 2 == 1)
+
+
+def pairs_sql(left: str, right: str, on: str, k: int) -> str:
+    return f"WITH {EMB}, {SIDES}, p AS (SELECT a.id AS a, b.id AS b, {TERM['l2']} AS d FROM {left} a JOIN {right} b ON {on}) SELECT a, b, round(d, 6) + 0.0::DOUBLE AS dist FROM p ORDER BY d, a, b LIMIT {k}"
+
+
+@query(pairs_sql("l", "g", "true", 1))
+def bichromatic_closestpair(s, d):
+    return shown(joins.closest_pairs(*sides(s, d), D.L2), "a", "b")
+
+
+@query(pairs_sql("l", "g", "true", 12))
+def bichromatic_kclosest(s, d):
+    return shown(joins.closest_pairs(*sides(s, d), D.L2, 12), "a", "b")
+
+
+@query(pairs_sql("e", "e", "a.id <> b.id", 2))
+def closestpair_l2(s, d):
+    return shown(joins.closest_pairs(vectors(s, d), vectors(s, d), D.L2, 2, same=True), "a", "b")
+
+
+@query(pairs_sql("e", "e", "a.id <> b.id", 16))
+def closestpairs_k(s, d):
+    return shown(joins.closest_pairs(vectors(s, d), vectors(s, d), D.L2, 16, same=True), "a", "b")
+
+
+@query(f"""WITH {EMB}, {SIDES}, p AS (SELECT a.id AS a, b.id AS b, {TERM['l2']} AS d FROM l a, g b),
+r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY d, a)::INT AS rank FROM p),
+h AS (SELECT * FROM r WHERE rank <= 8), v AS (SELECT a, d FROM h WHERE rank <= 2),
+o AS (SELECT a, quantile_cont(d, 0.9) AS own FROM v GROUP BY a HAVING count(*) >= 3),
+f AS (SELECT coalesce((SELECT quantile_cont(d, 0.9) FROM v WHERE a IN (SELECT a FROM o)), (SELECT quantile_cont(d, 0.9) FROM v)) AS f)
+SELECT h.a, h.b, h.rank, round(h.d, 6) + 0.0::DOUBLE AS dist FROM h LEFT JOIN o ON h.a = o.a CROSS JOIN f WHERE h.d <= coalesce(o.own, f.f)""")
+def metricjoin_q90(s, d):
+    return shown(joins.metric_join(*sides(s, d), D.L2, 8, rank=2, min_group=3), "a", "b", "rank")
+
+
+@query()
+def hsp_l2(s, d):
+    e = vectors(s, d)
+    return shown(joins.hsp(search.knn(asked(e), e, D.L2, 32).where("qid <> id"), e, D.L2))
+
+
+@query(f"""WITH {EMB}, p AS (SELECT a.label AS cloud_a, a.id AS i, b.label AS cloud_b, min({TERM['l2']}) AS d FROM e a, e b GROUP BY 1, 2, 3),
+w AS (SELECT cloud_a, cloud_b, max(d) AS directed, avg(d) AS mean FROM p GROUP BY 1, 2)
+SELECT x.cloud_a, x.cloud_b, round(x.directed, 6) + 0.0::DOUBLE AS directed, round(greatest(x.directed, y.directed), 6) + 0.0::DOUBLE AS hausdorff, round(x.mean + y.mean, 6) + 0.0::DOUBLE AS chamfer
+FROM w x JOIN w y ON x.cloud_a = y.cloud_b AND x.cloud_b = y.cloud_a""")
+def cloud_hausdorff_chamfer(s, d):
+    got = joins.cloud_distances(vectors(s, d).withColumnRenamed("label", "cloud"), D.L2)
+    return got.select("cloud_a", "cloud_b", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("directed", "hausdorff", "chamfer")])
+
+
+# Representatives.
+@query()
+def fft_start0(s, d):
+    return shown(select.farthest_first(vectors(s, d), D.L2, 12, 0)[0], "id", "center")
+
+
+@query(f"""WITH {EMB}, r AS (SELECT a.id AS id, b.id AS center, {TERM['l2']} AS d FROM e a JOIN e b ON b.id < 16),
+m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, center) AS n FROM r) SELECT id, center, round(d, 6) + 0.0::DOUBLE AS dist FROM m WHERE n = 1""")
+def assign_to_centers(s, d):
+    e = vectors(s, d)
+    return shown(search.assign(e, e.where("id < 16"), D.L2), "id", "center")
+
+
+@query()
+def randsel(s, d):
+    return shown(select.random_selection(vectors(s, d), D.L2, 16, seed=3), "id", "center")
+
+
+@query()
+def dnet(s, d):
+    return shown(select.density_net(vectors(s, d), D.L2, 6, seed=3), "id", "center")
+
+
+@query()
+def multirandsel(s, d):
+    return shown(select.multi_random(vectors(s, d), D.L2, 12, seed=3)[0], "id", "center")
+
+
+@query(f"""WITH RECURSIVE {EMB}, n AS (SELECT a.id AS b, list(b.id) AS near FROM e a JOIN e b ON b.id < a.id AND {TERM['normcosine']} <= 0.65 GROUP BY a.id),
+o AS (SELECT e.id, coalesce(n.near, []) AS near, row_number() OVER (ORDER BY e.id) AS pos FROM e LEFT JOIN n ON n.b = e.id),
+g AS (SELECT 0::BIGINT AS pos, []::BIGINT[] AS kept UNION ALL
+      SELECT g.pos + 1, CASE WHEN list_has_any(g.kept, o.near) THEN g.kept ELSE list_append(g.kept, o.id) END FROM g JOIN o ON o.pos = g.pos + 1),
+k AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM g ORDER BY pos DESC LIMIT 1)),
+c AS (SELECT a.id, b.id AS nn, {TERM['normcosine']} AS d FROM e a JOIN e b ON b.id < a.id AND b.id IN (SELECT id FROM k) WHERE a.id NOT IN (SELECT id FROM k)),
+m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nn) AS n FROM c)
+SELECT id, id AS nn, 0.0::DOUBLE AS dist, true AS kept FROM k UNION ALL SELECT id, nn, round(d, 6) + 0.0::DOUBLE, false FROM m WHERE n = 1""")
+def neardup_normcosine(s, d):
+    return shown(select.near_duplicates(vectors(s, d), D.NORMCOSINE, 0.65), "id", "nn", "kept")
+
+
+@query()
+def distance_sample(s, d):
+    return evaluate.describe(select.distance_sample(vectors(s, d), D.L2, 0.1), "dist")
+
+
+# Quantised codes, projections, sketches.
+QUANT = "q AS (SELECT id, v, list_min(v) AS lo, (list_max(v) - list_min(v) + 1e-6::DOUBLE) / {top}.0::DOUBLE AS c FROM e), z AS (SELECT id, lo, c, list_transform(v, lambda x: least(greatest(round_even((x - lo) / c, 0)::INT, 0), {top})) AS codes FROM q), y AS (SELECT id, codes, list_transform(codes, lambda x: x * c + lo) AS v FROM z)"
+
+
+def quantised(s, d, bits):
+    q = vectors(s, d).select("id", V.quantise(F.col("v"), bits).alias("q"))
+    return q.select("id", F.col("q.codes").alias("codes"), V.dequantise(F.col("q")).alias("v"))
+
+
+for _bits in (8, 4, 2):
+    Q[f"squ{_bits}_codes"] = lambda s, d, b=_bits: quantised(s, d, b).select("id", F.array_join(V.pack(F.col("codes"), b), ",").alias("packed"))
+    _each = 8 // _bits
+    SQL[f"squ{_bits}_codes"] = f"WITH {EMB}, {QUANT.format(top=2**_bits - 1)} SELECT id, array_to_string(list_transform(range({64 // _each}), lambda i: " + " + ".join(f"codes[i * {_each} + {j + 1}] * {1 << (_bits * j)}" for j in range(_each)) + "), ',') AS packed FROM z"
+    Q[f"squ{_bits}_knn"] = lambda s, d, b=_bits: shown(search.knn(asked(quantised(s, d, b)), quantised(s, d, b).select("id", "v"), D.L2, K))
+    SQL[f"squ{_bits}_knn"] = f"WITH {EMB}, {QUANT.format(top=2**_bits - 1)}, " + knn_sql(TERM["l2"]).replace("FROM e a JOIN e b", "FROM y a JOIN y b") + f" SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}"
+
+
+@query(f"WITH {EMB}, {QUANT.format(top=3)} SELECT a.id AS qid, b.id, round(list_sum(list_transform({ZIP}, lambda x: x[1] - x[2])), 6) + 0.0::DOUBLE AS dist FROM y a JOIN y b ON a.id % 50 = 0")
+def squ2_l1_signed(s, d):
+    y = quantised(s, d, 2).select("id", "v")
+    return search.pairs(asked(y), y).select("qid", "id", (F.round(V.signed_l1(F.col("q"), F.col("v")), 6) + F.lit(0.0)).alias("dist"))
+
+
+def global_codes(s, d, bits):
+    return vectors(s, d).select("id", V.quantise_global(F.col("v"), -0.5, 0.5, bits).alias("v"))
+
+
+def _global_sql(bits: int, term: str) -> str:
+    top = 2**bits - 1
+    return f"WITH e0 AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: least(greatest(round_even((x + 0.5::DOUBLE) * {top}.0::DOUBLE, 0)::INT, 0), {top})) AS v FROM embeddings), h AS (SELECT a.id AS qid, b.id, {term}::BIGINT AS d FROM e0 a JOIN e0 b ON a.id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank FROM h) SELECT qid, id, rank, d AS dist FROM r WHERE rank <= {K}"
+
+
+@query(_global_sql(8, f"list_sum(list_transform({ZIP}, lambda x: (x[1] - x[2]) * (x[1] - x[2])))"))
+def sqgu8_sql2(s, d):
+    return search.knn_expression(asked(global_codes(s, d, 8)), global_codes(s, d, 8), V.codes_sql2, K)
+
+
+@query(_global_sql(4, f"-list_sum(list_transform({ZIP}, lambda x: x[1] * x[2]))"))
+def sqgu4_dot(s, d):
+    return search.knn_expression(asked(global_codes(s, d, 4)), global_codes(s, d, 4), lambda a, b: -V.codes_dot(a, b), K)
+
+
+HAD = "t AS (SELECT id, list_transform(range(64), lambda i: list_sum(list_transform(range(64), lambda j: CASE WHEN bit_count((i & j)::BIGINT) % 2 = 0 THEN v[j + 1] ELSE -v[j + 1] END))) AS v FROM e)"
+
+
+@query(f"WITH {EMB}, {HAD} SELECT id, pos - 1 AS pos, round(x, 6) + 0.0::DOUBLE AS x FROM (SELECT id, unnest(v) AS x, unnest(range(1, 65)) AS pos FROM t)")
+def hadamard(s, d):
+    return vectors(s, d).select("id", F.posexplode(V.hadamard(F.col("v"), 64)).alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), (F.round("x", 6) + F.lit(0.0)).alias("x"))
+
+
+def sketches(s, d):
+    return vectors(s, d).select("id", V.sketch(F.col("v"), 64).alias("v"))
+
+
+BITS_CTE = "b AS (SELECT id, list_transform(v, lambda x: x >= 0) AS bits FROM e)"
+
+
+def _bits_sql(term: str) -> str:
+    n = "list_sum(list_transform(list_zip(a.bits, b.bits), lambda x: {}))::DOUBLE"
+    h, both = n.format("(x[1] <> x[2])::INT"), n.format("(x[1] AND x[2])::INT")
+    return f"WITH {EMB}, {BITS_CTE}, h AS (SELECT a.id AS qid, b.id, {term.format(h=h, both=both)} AS d FROM b a JOIN b ON a.id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank FROM h) SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}"
+
+
+for _name, _term in (("bits_hamming", "{h}"), ("bits_russellrao", "1 - {both} / 64"), ("bits_rogerstanimoto", "1 - (64 - {h}) / (64 + {h})")):
+    Q[_name] = lambda s, d, n=_name: shown(search.knn_expression(asked(sketches(s, d)), sketches(s, d), D.BITS[n], K))
+    SQL[_name] = _bits_sql(_term)
+
+
+@query(f"WITH {EMB}, {HAD}, w AS (SELECT id, list_transform(v, lambda x: (x >= 0)::INT) AS v FROM t), h AS (SELECT a.id AS qid, b.id, list_sum(list_transform({ZIP}, lambda x: abs(x[1] - x[2])))::DOUBLE AS d FROM w a JOIN w b ON a.id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank FROM h) SELECT qid, id, rank, d AS dist FROM r WHERE rank <= {K}")
+def bitsketch_hadamard_hamming(s, d):
+    w = vectors(s, d).select("id", V.sketch(V.hadamard(F.col("v"), 64), 64).alias("v"))
+    return search.knn_expression(asked(w), w, D.BITS["bits_hamming"], K)
+
+
+@query()
+def projection_gaussian_knn(s, d):
+    m = V.matrix_gaussian(64, 16, seed=1)
+    p = vectors(s, d).select("id", V.project(F.col("v"), m).alias("v"))
+    return shown(search.knn(asked(p), p, D.L2, K))
+
+
+MIPS = "w AS (SELECT id, list_transform(v, lambda x: x * (1 + label)) AS v FROM e)"
+
+
+def weighted(s, d):
+    return vectors(s, d).select("id", F.transform("v", lambda x: x.cast("double") * (F.lit(1) + F.col("label"))).alias("v"))
+
+
+@query(f"WITH {EMB}, {MIPS}, h AS (SELECT a.id AS qid, b.id, list_sum(list_transform({ZIP}, lambda x: x[1] * x[2])) AS d FROM e a JOIN w b ON a.id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d DESC, id)::INT AS rank FROM h) SELECT qid, id, rank FROM r WHERE rank <= {K}")
+def spherical_mips(s, d):
+    q = asked(vectors(s, d)).select("qid", V.spherical_query(F.col("v")).alias("v"))
+    return search.knn(q, V.spherical_table(weighted(s, d)), D.L2, K).select("qid", "id", "rank")
+
+
+# Sets: parts of an order; event types of a user.
+SETS_CTE = "o AS (SELECT l_orderkey AS id, list(DISTINCT l_partkey) AS s FROM lineitem GROUP BY 1)"
+
+
+def orders(s, d):
+    return table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("s"))
+
+
+def _sets_sql(term: str, t: int = 1) -> str:
+    return f"""WITH {SETS_CTE}, x AS (SELECT id, len(s) AS n, unnest(s) AS token FROM o),
+c AS (SELECT a.id AS qid, b.id, count(*) AS i, any_value(a.n) AS m, any_value(b.n) AS n FROM x a JOIN x b USING (token) WHERE a.id % 50 = 0 GROUP BY 1, 2 HAVING count(*) >= {t}),
+h AS (SELECT qid, id, {term} AS d FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank FROM h)
+SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}"""
+
+
+SET_TERMS = {"jaccard": "1 - i / (m + n - i)::DOUBLE", "dice": "1 - 2 * i / (m + n)::DOUBLE", "intersection": "1 - i / greatest(m, n)::DOUBLE", "cosineset": "1 - i / (sqrt(m::DOUBLE) * sqrt(n::DOUBLE))", "rogerstanimoto": "1 - (40000 - (m + n - 2 * i)) / (40000 + (m + n - 2 * i))::DOUBLE"}
+for _name, _term in SET_TERMS.items():
+    _dist = D.SETS.get(_name) or D.rogers_tanimoto_set(40000)
+    Q[f"knn_{_name}"] = lambda s, d, dist=_dist: shown(inverted.search(asked(orders(s, d)), orders(s, d), dist, K))
+    SQL[f"knn_{_name}"] = _sets_sql(_term)
+
+
+@query(_sets_sql(SET_TERMS["jaccard"], 2))
+def invfile_t2(s, d):
+    return shown(inverted.search(asked(orders(s, d)), orders(s, d), D.JACCARD, K, t=2))
+
+
+def _posting_sql(having: str) -> str:
+    return f"WITH {SETS_CTE}, x AS (SELECT id, len(s) AS m, unnest(s) AS token FROM o) SELECT a.id AS qid, b.id, count(*) AS n FROM x a JOIN x b USING (token) WHERE a.id % 50 = 0 GROUP BY a.id, b.id, a.m HAVING count(*) >= {having}"
+
+
+for _name, _t in (("posting_union", 1), ("posting_threshold", 2), ("posting_intersect", None)):
+    Q[_name] = lambda s, d, t=_t: inverted.threshold(asked(orders(s, d)), orders(s, d), t)
+    SQL[_name] = _posting_sql("a.m" if _t is None else str(_t))
+
+
+@query(f"WITH {SETS_CTE} SELECT id, 1 + len(list_filter(s, lambda y: y < 1000))::INT AS pos FROM o")
+def posting_search(s, d):
+    return orders(s, d).select("id", inverted.first_at_least(F.array_sort("s"), F.lit(1000)).alias("pos"))
+
+
+# Sequences: event types of a user in order, one character each; part names.
+@query("WITH p AS (SELECT DISTINCT p_name AS v FROM part), b AS (SELECT DISTINCT p_brand AS q FROM part) SELECT q, v, levenshtein(q, v)::DOUBLE AS dist FROM b, p")
+def levenshtein_names(s, d):
+    part = table(s, d, "part")
+    q = part.select(F.col("p_brand").alias("qid"), F.col("p_brand").alias("v")).distinct()
+    o = part.select(F.col("p_name").alias("id"), F.col("p_name").alias("v")).distinct()
+    return search.pairs(q, o).select("q", "v", D.levenshtein(F.col("q"), F.col("v")).alias("dist"))
+
+
+SEQ_CTE = "u AS (SELECT user_id AS id, list(substr(event_type, 1, 2) ORDER BY ts, event_id)[1:8] AS v FROM events GROUP BY 1 HAVING count(*) >= 8)"
+
+
+def sequences(s, d):
+    rows = table(s, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.substring("event_type", 1, 2).alias("e")))).alias("a"))
+    # the object is a user's first eight events
+    return rows.where(F.size("a") >= 8).select("id", F.slice(F.col("a.e"), 1, 8).alias("v"))
+
+
+def _seq_sql(term: str) -> str:
+    return f"WITH {SEQ_CTE}, h AS (SELECT a.id AS qid, b.id, {term} AS d FROM u a JOIN u b ON a.id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank FROM h) SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}"
+
+
+for _name, _term in (("hamming", f"list_sum(list_transform({ZIP}, lambda x: (x[1] <> x[2])::INT))::DOUBLE"), ("commonprefix", "1 - coalesce(list_min(list_filter(range(8), lambda i: a.v[i + 1] <> b.v[i + 1])), 8) / 8.0::DOUBLE"), ("lcs", None)):
+    Q[f"seq_{_name}"] = lambda s, d, n=_name: shown(search.knn_expression(asked(sequences(s, d)), sequences(s, d), D.SEQS[n], K))
+    if _term:
+        SQL[f"seq_{_name}"] = _seq_sql(_term)
+
+
+# Sparse text: term counts of documents.
+def terms(s, d):
+    words = table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "lang", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where("term <> ''")
+    return words.groupBy("id", "lang", "term").agg(F.count("*").cast("double").alias("w"))
+
+
+@query("""WITH t AS (SELECT lang, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents WHERE text IS NOT NULL),
+c AS (SELECT lang, term, count(*)::DOUBLE AS w FROM t WHERE term <> '' GROUP BY 1, 2)
+SELECT lang, term, w, round(w / sqrt(sum(w * w) OVER (PARTITION BY lang)), 6) + 0.0::DOUBLE AS unit FROM c""")
+def centroid_by_lang(s, d):
+    return inverted.centroids(terms(s, d), "lang").select("lang", "term", "w", (F.round("unit", 6) + F.lit(0.0)).alias("unit"))
+
+
+# The embedding's large components as a sparse vector.
+SPARSE = "x AS (SELECT vec_id AS id, unnest(range(64)) AS term, unnest(embedding::DOUBLE[]) AS w FROM embeddings), sp AS (SELECT * FROM x WHERE abs(w) >= 0.2)"
+
+
+def sparse(s, d):
+    return vectors(s, d).select("id", F.posexplode("v").alias("term", "x")).select("id", F.col("term").cast("long").alias("term"), F.col("x").cast("double").alias("w")).where(F.abs("w") >= 0.2)
+
+
+@query(f"""WITH {SPARSE}, n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM sp GROUP BY 1), p AS (SELECT a.id AS qid, b.id, sum(a.w * b.w) AS dot FROM sp a JOIN sp b USING (term) WHERE a.id % 50 = 0 GROUP BY 1, 2),
+h AS (SELECT qid, p.id, round(1 - dot / (n.norm * m.norm), 9) AS d FROM p JOIN n ON n.id = p.id JOIN n m ON m.id = p.qid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank FROM h)
+SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}""")
+def sparse_cosine_knn(s, d):
+    v = sparse(s, d)
+    return shown(inverted.sparse_cosine(v.where(F.col("id") % 50 == 0), v, K))
+
+
+@query(f"WITH {SPARSE} SELECT id, array_to_string(list(term ORDER BY term), ',') AS terms, count(*) AS nnz FROM sp GROUP BY id")
+def sparse_results(s, d):
+    return sparse(s, d).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("term")), ",").alias("terms"), F.count("*").alias("nnz"))
+
+
+# Graphs from nearest neighbours.
+EDGES = f"h AS (SELECT a.id AS src, b.id AS dst, {TERM['l2']} AS d FROM e a JOIN e b ON a.id <> b.id), r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS n FROM h), g AS (SELECT src, dst FROM r WHERE n <= 4 UNION SELECT dst, src FROM r WHERE n <= 4)"
+
+
+def links(s, d):
+    near = search.allknn(vectors(s, d), D.L2, 5).where("qid <> id")
+    return graph.reverse_links(near.select(F.col("qid").alias("src"), F.col("id").alias("dst")))
+
+
+@query(f"WITH {EMB}, {EDGES} SELECT src, dst FROM g")
+def reverse_links(s, d):
+    return links(s, d)
+
+
+@query(f"WITH {EMB}, {EDGES}, c AS (SELECT e.id, count(g.dst) AS degree FROM e LEFT JOIN g ON g.src = e.id GROUP BY e.id) SELECT count(*) AS n, avg(degree) AS mean, round(stddev_samp(degree), 6) AS std, min(degree) AS min, median(degree) AS median, max(degree) AS max FROM c")
+def degree_stats(s, d):
+    got = evaluate.describe(graph.degrees(vectors(s, d), links(s, d)), "degree")
+    return got.withColumn("std", F.round("std", 6))
+
+
+@query(f"WITH {EMB}, {EDGES}, c AS (SELECT e.id, count(g.dst) AS degree FROM e LEFT JOIN g ON g.src = e.id GROUP BY e.id) SELECT id, coalesce(sum(degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, degree FROM c")
+def csr_offsets(s, d):
+    return graph.compressed(vectors(s, d), links(s, d)).select("id", "start", F.size("neighbours").cast("long").alias("degree"))
+
+
+@query(f"WITH {EMB}, h AS (SELECT {TERM['l2']} AS d FROM e a JOIN e b ON a.id % 50 = 0), b AS (SELECT least(greatest(floor(d / 2 * 30)::INT + 1, 0), 31)::BIGINT AS bin FROM h) SELECT bin, count(*) AS n FROM b GROUP BY bin")
+def distance_histogram(s, d):
+    e = vectors(s, d)
+    return evaluate.histogram(search.within(asked(e), e, D.L2, 10.0), "dist", 0.0, 2.0)
+
+
+# Approximate indexes.
+@query(f"WITH {EMB}, {knn_sql(TERM['l2'])} SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}")
+def pivot_knn_full_probe(s, d):
+    e = vectors(s, d)
+    return shown(search.pivot_search(asked(e), e, select.random_centers(e, 16, 1), D.L2, K))
+
+
+@query()
+def pivot_knn(s, d):
+    e = vectors(s, d)
+    return shown(search.pivot_search(asked(e), e, select.random_centers(e, 16, 1), D.L2, K, probes=8))
+
+
+@query()
+def graph_knn(s, d):
+    e = vectors(s, d)
+    return shown(graph.search(asked(e), e, graph.build(e, D.L2), D.L2, K, beam=32))
+
+
+@query()
+def knr_prefix_groups(s, d):
+    e = vectors(s, d)
+    return graph.prefix_groups(e, select.random_centers(e, 16, 1), D.L2)
+
 
 def queries():
-    return {}
+    return dict(Q)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
