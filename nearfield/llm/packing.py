@@ -39,18 +39,37 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_symbols() -> dict[str, int]:
+    """The characters by which byte-level vocabularies write bytes: printable Latin-1 as itself, others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
+
+
 class WordIds(dict):
     """Little-endian ids of words; the pattern of byte-level vocabularies always splits before a space and a non-space,
-    so a text's ids are those of its words, each with the space before it."""
+    so a text's ids are those of its words, each with the space before it.
+
+    The vocabulary is the tokenizer file's. Words that aren't in the table are merged by a second implementation of
+    byte-pair merging over the same vocabulary, whose ids are equal (tests hold them against the first) and which takes
+    a tenth of the time for a single word.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import json
+
+        import public_tokenizers
+        import tiktoken
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their names in a text are ordinary text
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        symbols = byte_symbols()
+        # special tokens hold no merge: their names in a text are ordinary text
+        ranks = {bytes([symbols[c] for c in token]): i for token, i in vocabulary.items() if not (token.startswith("<|") and token.endswith("|>"))}
+        self.model = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        return np.asarray(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.asarray(self.model.encode_ordinary(text), dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         found = self.encode(word)
@@ -66,7 +85,7 @@ class WordIds(dict):
         if UNSAFE.search(text):
             return self.encode(text)
         first, *rest = text.split(" ")
-        return self[first] + b"".join([self[" " + word] for word in rest]) if first else b"".join([self[" " + word] for word in rest])
+        return (self[first] if first else b"") + b"".join([self[" " + word] for word in rest])
 
 
 _MODELS: dict[str, WordIds] = {}
