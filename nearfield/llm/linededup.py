@@ -33,15 +33,14 @@ RESULTS = ("n_lines", "removed_lines", "removed")
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(key, doc_id, line, id, words) of every line with a word; a document given several times counts once."""
-    words = F.size(F.split(F.trim(F.regexp_replace("content", r"\s+", " ")), " "))
     rows = docs.where(F.col("text").isNotNull()).select(text_key("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    rows = rows.withColumn("content", F.trim(F.regexp_replace("content", r"^\s+|\s+$", ""))).where("content <> ''")
-    return rows.select("key", "doc_id", "line", text_key("content").alias("id"), words.cast("int").alias("words"))
+    rows = rows.withColumn("content", F.btrim("content", F.lit(" \t\r\x0b\x0c"))).where("content <> ''")
+    return rows.select("key", "doc_id", "line", text_key("content").alias("id"), F.size(F.split("content", r"\s+")).cast("int").alias("words"))
 
 
 def segments(docs: DataFrame, min_words: int) -> DataFrame:
     """(segment, key, doc_id, lines, words, ids): maximal runs of lines that occur more than once, of min_words words."""
-    every = lines_of(docs)
+    every = cut(lines_of(docs))
     # equal documents under equal keys count once: the key names (doc_id, text), so (key, line) names a line
     counted = every.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("key", "line")).alias("low"), F.max(F.struct("key", "line")).alias("high"))
     repeated = counted.where((F.col("n") > 1) & (F.col("low") != F.col("high"))).select("id")
