@@ -3,7 +3,8 @@
 Documents are tokenised once, in Arrow batches; only (document, piece, length, checksum) rows go on. The plan needs no
 more than the count of every length, of which there are at most `capacity`, so planning costs the same for any corpus.
 Exact complements come first: for each length, from the longest, single, pair and triple sums that fill the gap exactly
-are looked up among the available counts; what is left is packed best-fit decreasing. A plan is a list of patterns with
+are looked up among the available counts; where none is left, the best fit goes in and its residual gap is looked up
+in turn. A plan is a list of patterns with
 multiplicities, at most two for each length. Pieces take their place by their rank within their length; ranks are
 counted over (length, hash bucket) totals, so that no length's rows meet in one task.
 
@@ -166,7 +167,8 @@ def exact(gap: int, counts: np.ndarray) -> tuple[int, ...] | None:
 
 
 def plan(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
-    """(multiplicity, lengths) patterns that use every piece: exact complements first, then best-fit decreasing.
+    """(multiplicity, lengths) patterns that use every piece, from the longest: exact complements of a gap first, and
+    where there is none the best fit, whose residual gap is looked up again.
 
     counts: pieces by length, up to the capacity. Each pattern uses up one length at least, or is followed by one that does.
     """
@@ -184,24 +186,14 @@ def plan(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
 
     for length in range(capacity, 0, -1):
         while counts[length]:
-            if length == capacity:
-                take((length,))
-                continue
-            counts[length] -= 1  # so that the complement can't use this piece itself
-            rest = exact(capacity - length, counts)
-            counts[length] += 1
-            if rest is None:
-                break
-            take((length, *rest))
-    while counts.any():
-        pattern: list[int] = []
-        gap, left = capacity, counts.copy()
-        while gap > 0 and len(at := np.flatnonzero(left[: gap + 1])):
-            longest = int(at[-1])
-            pattern.append(longest)
-            left[longest] -= 1
-            gap -= longest
-        take(tuple(pattern))
+            pattern, gap, left = [length], capacity - length, counts.copy()
+            left[length] -= 1
+            while gap > 0 and (rest := exact(gap, left)) is None and len(at := np.flatnonzero(left[: gap + 1])):
+                # no exact complement: the best fit, whose own gap may have one
+                pattern.append(int(at[-1]))
+                left[at[-1]] -= 1
+                gap -= int(at[-1])
+            take((*pattern, *(rest or ())) if gap > 0 else tuple(pattern))
     return found
 
 
