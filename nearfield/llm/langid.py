@@ -121,8 +121,15 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model of the labelled rows that aren't held out, from at most per_language of each language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").isNotNull())
     # the choice is made on ids alone; texts are read for the chosen rows
+    ids = labelled.select("doc_id", "lang", F.md5(F.col("doc_id").cast("string")).alias("key"))
+    # only the first hash prefixes that fill a language's sample are ranked: counts by prefix are combined before they
+    # are dealt, and a language has at most 16^5 of them, so no task ranks all rows of a language
+    ids = ids.withColumn("prefix", F.substring("key", 1, 5))
+    before = F.sum("rows").over(Window.partitionBy("lang").orderBy("prefix")) - F.col("rows")
+    counted = ids.groupBy("lang", "prefix").agg(F.count("*").alias("rows")).withColumn("before", before)
+    first = counted.where(F.col("before") < per_language).select("lang", "prefix")
     order = Window.partitionBy("lang").orderBy("key", "doc_id")
-    chosen = labelled.select("doc_id", "lang", F.md5(F.col("doc_id").cast("string")).alias("key")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    chosen = ids.join(first, ["lang", "prefix"], "left_semi").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     sample = labelled.select("doc_id", "lang", "text").join(chosen.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
