@@ -4,8 +4,8 @@ Documents are tokenised once, in Arrow batches; only (document, piece, length, c
 more than the count of every length, of which there are at most `capacity`, so planning costs the same for any corpus.
 Exact complements come first: for each length, from the longest, single, pair and triple sums that fill the gap exactly
 are looked up among the available counts; where none is left, the best fit goes in and its residual gap is looked up
-in turn. A plan is a list of patterns with
-multiplicities, at most two for each length. Pieces take their place by their rank within their length; ranks are
+in turn. Best fit packs the residual of lengths below a bound, for which the plan with the fewest sequences is taken.
+A plan is a list of patterns with multiplicities, a few for each length. Pieces take their place by their rank within their length; ranks are
 counted over (length, hash bucket) totals, so that no length's rows meet in one task.
 
 Cases: null text is empty and gives one piece, the end token; other columns are ignored; rows with equal doc_id are
@@ -27,6 +27,8 @@ from .common import cut
 
 CAPACITY = 1024
 END = 2
+#: Lengths, evenly spread, at which a plan may go over from exact complements to best fit.
+STEPS = 16
 #: Entries of the table of encoded words in a Python worker; it is emptied when full.
 CACHED_WORDS = 400_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -166,11 +168,11 @@ def exact(gap: int, counts: np.ndarray) -> tuple[int, ...] | None:
     return None
 
 
-def plan(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
-    """(multiplicity, lengths) patterns that use every piece, from the longest: exact complements of a gap first, and
-    where there is none the best fit, whose residual gap is looked up again.
+def exact_first(counts: np.ndarray, until: int = 0) -> tuple[list[tuple[int, tuple[int, ...]]], np.ndarray]:
+    """(multiplicity, lengths) patterns for the pieces longer than `until`, from the longest, and the counts left over:
+    exact complements of a gap first, and where there is none the best fit, whose residual gap is looked up again.
 
-    counts: pieces by length, up to the capacity. Each pattern uses up one length at least, or is followed by one that does.
+    Each pattern uses up one length at least, or is followed by one that does.
     """
     capacity = len(counts) - 1
     counts = counts.astype(np.int64).copy()
@@ -184,17 +186,60 @@ def plan(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
         counts[at] -= times * used[at]
         found.append((times, pattern))
 
-    for length in range(capacity, 0, -1):
+    for length in range(capacity, until, -1):
         while counts[length]:
-            pattern, gap, left = [length], capacity - length, counts.copy()
+            pattern, gap, left, rest = [length], capacity - length, counts.copy(), None
             left[length] -= 1
             while gap > 0 and (rest := exact(gap, left)) is None and len(at := np.flatnonzero(left[: gap + 1])):
                 # no exact complement: the best fit, whose own gap may have one
                 pattern.append(int(at[-1]))
                 left[at[-1]] -= 1
                 gap -= int(at[-1])
-            take((*pattern, *(rest or ())) if gap > 0 else tuple(pattern))
-    return found
+            take((*pattern, *(rest or ())))
+    return found, counts
+
+
+def best_fit(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
+    """Patterns of all pieces, from the longest, each into the least gap that holds it; equal sequences are one pattern."""
+    capacity = len(counts) - 1
+    by_gap: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+    for length in range(capacity, 0, -1):
+        left = int(counts[length])
+        while left:
+            gap = next((g for g in range(length, capacity + 1) if by_gap.get(g)), None)
+            if gap is None:  # new sequences, as many of this length in each as fit
+                each = min(capacity // length, left)
+                times, pattern = left // each, (length,) * each
+                left -= times * each
+            else:
+                times, pattern = by_gap[gap].pop()
+                if times > left:
+                    by_gap[gap].append((times - left, pattern))
+                    times = left
+                left -= times
+                pattern = (*pattern, length)
+            by_gap.setdefault(capacity - sum(pattern), []).append((times, pattern))
+    return [pattern for own in by_gap.values() for pattern in own]
+
+
+def plan(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
+    """(multiplicity, lengths) patterns that use every piece; counts: pieces by length, up to the capacity.
+
+    Exact complements come first, best fit packs the residual. The length at which one gives way to the other is the
+    one with the fewest sequences of STEPS lengths; a plan without waste ends the search.
+    """
+    capacity = len(counts) - 1
+    least = -(-int((np.arange(capacity + 1) * counts).sum()) // capacity)
+    best, fewest = [], None
+    for step in range(STEPS + 1):
+        found, left = exact_first(counts, capacity * step // STEPS)
+        found += best_fit(left)
+        total = sum(times for times, _ in found)
+        if fewest is None or total < fewest:
+            best, fewest = found, total
+        if fewest <= least:
+            break
+    return best
 
 
 def assign(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -99,6 +99,14 @@ def test_pack_plan_uses_every_piece():
     assert (used[1:] == counts[1:]).all()
 
 
+def test_pack_plan_is_no_worse_than_best_fit():
+    rng = np.random.default_rng(2)
+    for size in (0, 1, 30, 3000):
+        counts = np.bincount(rng.integers(1, 1025, size), minlength=1025)
+        n = sum(times for times, _ in packing.plan(counts))
+        assert -(-int((np.arange(1025) * counts).sum()) // 1024) <= n <= sum(times for times, _ in packing.best_fit(counts))
+
+
 def test_ids_are_the_tokenizer_s(spark):
     from tokenizers import Tokenizer
 
