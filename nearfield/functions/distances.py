@@ -148,6 +148,18 @@ def levenshtein(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b).cast("double")
 
 
+def levenshtein_seq(a: Column, b: Column) -> Column:
+    """Unit edit distance of two arrays of any type, by rows of the dynamic programme."""
+    first = F.transform(F.sequence(F.lit(0), F.size(b)), lambda j: j)
+
+    def row(last: Column, x: Column) -> Column:
+        places = F.transform(b, lambda y, j: F.struct(y.alias("y"), j.alias("j")))
+        grow = lambda now, p: F.concat(now, F.array(F.least(F.get(last, p["j"] + 1) + 1, F.element_at(now, -1) + 1, F.get(last, p["j"]) + F.when(p["y"].eqNullSafe(x), 0).otherwise(1))))
+        return F.aggregate(places, F.array(F.get(last, F.lit(0)) + 1), grow)
+
+    return F.element_at(F.aggregate(a, first, row), -1).cast("double")
+
+
 def lcs_length(a, b) -> int:
     """Length of the longest common subsequence, a row at a time."""
     row = np.zeros(len(b) + 1, np.int64)
@@ -168,7 +180,7 @@ def lcs(a: Column, b: Column) -> Column:
     return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)(a, b)
 
 
-SEQS = {"commonprefix": Distance("commonprefix", "premetric", common_prefix), "hamming": Distance("hamming", "metric", hamming_seq), "levenshtein": Distance("levenshtein", "metric", levenshtein), "lcs": Distance("lcs", "metric", lcs)}
+SEQS = {"commonprefix": Distance("commonprefix", "premetric", common_prefix), "hamming": Distance("hamming", "metric", hamming_seq), "levenshtein": Distance("levenshtein", "metric", levenshtein), "lcs": Distance("lcs", "metric", lcs), "edit": Distance("edit", "metric", levenshtein_seq)}
 
 
 def _bits(a: Column, b: Column, op: Builder) -> Column:

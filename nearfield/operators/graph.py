@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import hsp
-from .search import allknn, knn, ranked
-from .select import cut, random_centers
+from .search import allknn, knn, ranked, recall
+from .select import cut, distance_sample, farthest_first, hash_order, near_duplicates, random_centers
 
 
 def reverse_links(edges: DataFrame) -> DataFrame:
@@ -49,13 +49,13 @@ def prefix_groups(objects: DataFrame, centers: DataFrame, dist, length: int = 2)
     return near.groupBy(F.col("qid").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("id")), "-").alias("key"))
 
 
-def search(queries: DataFrame, objects: DataFrame, edges: DataFrame, dist, k: int, beam: int = 16, hints: int = 32, rounds: int = 12, seed: int = 0) -> DataFrame:
-    """Approximate k nearest: hints first, then rounds that expand the unvisited of each query's best `beam` objects
-    until no query has one. Queries advance together; all state is tables."""
-    visited = cut(ranked(knn(queries, random_centers(objects, hints, seed), dist, hints), hints).select("qid", "id", "dist").withColumn("expanded", F.lit(False)))
+def explore(visited: DataFrame, queries: DataFrame, objects: DataFrame, edges: DataFrame, dist, width: int, rounds: int) -> DataFrame:
+    """(qid, id, dist, expanded): rounds that expand the unvisited of each query's best `width` objects until no query
+    has one, from visited (qid, id, dist). Queries advance together; all state is tables."""
+    visited = cut(visited.select("qid", "id", "dist").withColumn("expanded", F.lit(False)))
     order = Window.partitionBy("qid").orderBy("dist", "id")
     for _ in range(rounds):
-        best = visited.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(beam, k))
+        best = visited.withColumn("n", F.row_number().over(order)).where(F.col("n") <= width)
         frontier = cut(best.where(~F.col("expanded")).select("qid", "id"))
         if not frontier.limit(1).count():
             break
@@ -63,15 +63,182 @@ def search(queries: DataFrame, objects: DataFrame, edges: DataFrame, dist, k: in
         scored = reached.join(queries.select("qid", F.col("v").alias("q")), "qid").join(objects.select("id", "v"), "id").select("qid", "id", dist(F.col("q"), F.col("v")).alias("dist"), F.lit(False).alias("expanded"))
         done = visited.join(frontier.withColumn("now", F.lit(True)), ["qid", "id"], "left").select("qid", "id", "dist", (F.col("expanded") | F.coalesce("now", F.lit(False))).alias("expanded"))
         visited = cut(done.unionByName(scored))
-    return ranked(visited.select("qid", "id", "dist"), k)
-
-
-def tune(queries: DataFrame, objects: DataFrame, edges: DataFrame, dist, k: int, goal: float = 0.9, beams: tuple[int, ...] = (4, 8, 16, 32, 64)) -> int:
-    """The least beam of a grid with the wanted mean recall on sample queries, or the last."""
-    from .search import recall
-
+    return visited
+
+
+def visits(queries: DataFrame, objects: DataFrame, edges: DataFrame, dist, k: int, beam: int = 16, hints: int = 32, rounds: int = 12, seed: int = 0, entry: DataFrame | None = None) -> DataFrame:
+    """(qid, id, dist, expanded) of all objects that a search looks at: the hints (random ones if no entry is given)
+    first, then their neighbours as far as the beam goes."""
+    entry = random_centers(objects, hints, seed) if entry is None else entry.select("id", "v")
+    return explore(knn(queries, entry, dist, max(hints, k)), queries, objects, edges, dist, max(beam, k), rounds)
+
+
+def search(queries: DataFrame, objects: DataFrame, edges: DataFrame, dist, k: int, **options) -> DataFrame:
+    """Approximate k nearest by beam search; options are those of visits()."""
+    return ranked(visits(queries, objects, edges, dist, k, **options).select("qid", "id", "dist"), k)
+
+
+def allknn_graph(objects: DataFrame, edges: DataFrame, dist, k: int, beam: int = 16, rounds: int = 12) -> DataFrame:
+    """Approximate k nearest of every object, itself included, each starting from itself and its own neighbours."""
+    queries = objects.select(F.col("id").alias("qid"), "v")
+    start = edges.select(F.col("src").alias("qid"), F.col("dst").alias("id")).union(objects.select(F.col("id").alias("qid"), "id")).distinct()
+    scored = start.join(queries.withColumnRenamed("v", "q"), "qid").join(objects.select("id", "v"), "id").select("qid", "id", dist(F.col("q"), F.col("v")).alias("dist"))
+    return ranked(explore(scored, queries, objects, edges, dist, max(beam, k), rounds).select("qid", "id", "dist"), k)
+
+
+def closest_pairs_graph(objects: DataFrame, edges: DataFrame, dist, k: int = 1, min_k: int = 8, **options) -> DataFrame:
+    """(a, b, dist): approximately the k smallest ordered pairs of different objects."""
+    near = allknn_graph(objects, edges, dist, max(k, min_k) + 1, **options).where("qid <> id")
+    return near.select(F.col("id").alias("a"), F.col("qid").alias("b"), "dist").orderBy("dist", "a", "b").limit(k)
+
+
+# Upkeep.
+def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, neighbours) of the given ids; an empty array for those without."""
+    own = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("n"))
+    return ids.select("id").join(own, "id", "left").select("id", F.coalesce("n", F.array().cast("array<long>")).alias("neighbours"))
+
+
+def add(edges: DataFrame, more: DataFrame) -> DataFrame:
+    """edges with more (src, dst), each once."""
+    return edges.select("src", "dst").unionByName(more.select("src", "dst")).distinct()
+
+
+def append(objects: DataFrame, edges: DataFrame, new: DataFrame, dist, candidates: int = 12) -> DataFrame:
+    """edges of the graph with new objects: these look for neighbours among the old and each other."""
+    whole = objects.select("id", "v").unionByName(new.select("id", "v"))
+    near = knn(new.select(F.col("id").alias("qid"), "v"), whole, dist, candidates + 1).where("qid <> id")
+    kept = hsp(near, whole, dist)
+    return add(edges, reverse_links(kept.select(F.col("qid").alias("src"), F.col("id").alias("dst"))))
+
+
+class Frozen:
+    """A graph as compressed sparse rows, which takes no more edges."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame):
+        self.rows = compressed(nodes, edges)
+
+    def add(self, more: DataFrame) -> None:
+        raise TypeError("a frozen graph takes no edges")
+
+
+def rings(members: DataFrame, links: int = 2, each: int = 16, seed: int = 0) -> DataFrame:
+    """(src, dst) that connect the members (key, id) of each group: buckets of about `each` members are rings in hash
+    order, with `links` steps, and the buckets' first members go on to the next round. No group meets in one task."""
+    found = None
+    while True:
+        sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+        dealt = members.join(sizes, "key").withColumn("buckets", F.ceil(F.col("size") / each).cast("long"))
+        dealt = cut(dealt.select("key", "id", "buckets", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("buckets")).alias("bucket"), F.xxhash64("id", F.lit(seed + 1)).alias("h")))
+        order = Window.partitionBy("key", "bucket").orderBy("h", "id")
+        for step in range(1, links + 1):
+            edge = dealt.select(F.col("id").alias("src"), F.coalesce(F.lead("id", step).over(order), F.first("id").over(order)).alias("dst")).where("src <> dst")
+            found = edge if found is None else found.unionByName(edge)
+        members = cut(dealt.where("buckets > 1").groupBy("key", "bucket").agg(F.min(F.struct("h", "id")).alias("m")).select("key", "m.id"))
+        if not members.limit(1).count():
+            return found.distinct()
+        seed += 2
+
+
+def build_by_references(objects: DataFrame, references: DataFrame, dist, length: int = 3, links: int = 2) -> DataFrame:
+    """(src, dst) without a search among all objects: objects with the same nearest references form groups, by all
+    `length` of them, then by every choice of fewer, down to one; each group is connected by rings."""
+    near = knn(objects.withColumnRenamed("id", "qid"), references, dist, length)
+    level = near.groupBy(F.col("qid").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("key"))
+    edges = None
+    for size in range(length, 0, -1):
+        found = rings(level, links, seed=size)
+        edges = found if edges is None else edges.unionByName(found)
+        if size > 1:
+            shorter = F.transform("key", lambda x: F.array_remove("key", x))
+            level = cut(level.select("id", F.explode(shorter).alias("key")).distinct())
+    return cut(reverse_links(edges))
+
+
+# Hints: entry points of a search, a bounded number.
+def spread(candidates: DataFrame, edges: DataFrame, n: int, hops: int) -> list[int]:
+    """The first n of candidates (id, place), a bounded table, that aren't within `hops` of an earlier one."""
+    near = candidates.select(F.col("id").alias("of"), "id")
+    for _ in range(hops):
+        near = cut(near.unionByName(near.join(edges, F.col("id") == F.col("src")).select("of", F.col("dst").alias("id"))).distinct())
+    close: dict[int, set[int]] = {}
+    for r in near.join(candidates.select("id"), "id", "left_semi").where("of <> id").collect():
+        close.setdefault(r["of"], set()).add(r["id"])
+    chosen, gone = [], set()
+    for r in candidates.orderBy("place", "id").collect():
+        if r["id"] not in gone:
+            chosen.append(r["id"])
+            gone |= close.get(r["id"], set())
+            if len(chosen) == n:
+                break
+    return chosen
+
+
+def hints(objects: DataFrame, edges: DataFrame, n: int, kind: str = "random", dist=None, seed: int = 0, oversample: int = 4, quantile: float = 0.01) -> DataFrame:
+    """(id, v) of at most n entry points.
+
+    random: in hash order, of more than two neighbours, two steps apart. disjoint: of degree nearest the mean, no
+    neighbours. kdisjoint: of a random sample, by degree, four steps apart. epsilon: a random sample without near
+    duplicates, at a quantile of its distances. kcenters: farthest-first centers of a random sample, without the least
+    used.
+    """
+    degree = degrees(objects, edges)
+    many = n * oversample
+    place = hash_order(seed)
+    if kind == "random":
+        found = spread(degree.where("degree > 2").select("id", place.alias("place")).orderBy("place", "id").limit(many), edges, n, 2)
+    elif kind == "disjoint":
+        mean = degree.agg(F.avg("degree")).first()[0] or 0.0
+        found = spread(degree.select("id", F.abs(F.col("degree") - F.lit(mean)).alias("place")).orderBy("place", "id").limit(n), edges, n, 1)
+    elif kind == "kdisjoint":
+        found = spread(degree.orderBy(place, "id").limit(many).select("id", (-F.col("degree")).alias("place")), edges, n, 4)
+    elif kind in ("epsilon", "kcenters"):
+        sample = cut(random_centers(objects.select("id", "v"), many, seed))
+        if kind == "epsilon":
+            far = distance_sample(sample, dist, 1.0, seed).agg(F.percentile("dist", F.lit(quantile))).first()[0]
+            kept = near_duplicates(sample, dist, max(1e-5, far or 0.0)).where("kept").select("id")
+            found = [r["id"] for r in kept.orderBy(place, "id").limit(n).collect()]
+        else:
+            used, report = farthest_first(sample, dist, n, sample.agg(F.min("id")).first()[0])
+            times = {r["center"]: r["count"] for r in used.groupBy("center").count().collect()}
+            least = sorted(times.values())[int(0.1 * len(times))]
+            found = [c for c in report["centers"] if times.get(c, 0) >= least]
+    else:
+        raise ValueError(f"unknown kind {kind}")
+    return objects.select("id", "v").join(objects.sparkSession.createDataFrame([(i,) for i in found], "id long"), "id", "left_semi")
+
+
+# Goals of tuning: the cost of (mean share of objects visited, mean recall, mean radius / exact mean radius); least wins.
+def min_recall(least: float = 0.9):
+    return lambda visited, recall, radius: visited if recall >= least else 1.0 + least - recall
+
+
+def opt_radius(tolerance: float = 0.1):
+    """Radii within one tolerance count alike; of those the cheaper wins."""
+    return lambda visited, recall, radius: round(radius / tolerance) + visited
+
+
+def pareto_recall():
+    return lambda visited, recall, radius: visited**2 + (1.0 - recall) ** 2
+
+
+def pareto_radius():
+    return lambda visited, recall, radius: visited + radius
+
+
+def tune(queries: DataFrame, objects: DataFrame, edges: DataFrame, dist, k: int, goal=None, beams: tuple[int, ...] = (4, 8, 16, 32, 64), **options) -> tuple[int, list[dict]]:
+    """The beam of a grid that costs least on sample queries, and a report of all of them; goal is min_recall() or
+    another of the goals above."""
+    goal = goal or min_recall()
     gold = cut(knn(queries, objects, dist, k))
+    n = objects.count()
+    exact = gold.groupBy("qid").agg(F.max("dist").alias("r")).agg(F.avg("r")).first()[0] or 1.0
+    report = []
     for beam in beams:
-        if recall(gold, search(queries, objects, edges, dist, k, beam)).agg(F.avg("recall")).first()[0] >= goal:
-            return beam
-    return beams[-1]
+        looked = visits(queries, objects, edges, dist, k, beam=beam, **options)
+        share = looked.groupBy("qid").count().agg(F.avg("count")).first()[0] / n
+        found = cut(ranked(looked.select("qid", "id", "dist"), k))
+        radius = found.groupBy("qid").agg(F.max("dist").alias("r")).agg(F.avg("r")).first()[0] / exact
+        right = recall(gold, found).agg(F.avg("recall")).first()[0]
+        report.append({"beam": beam, "visited": share, "recall": right, "radius": radius, "cost": goal(share, right, radius)})
+    return min(report, key=lambda r: (r["cost"], r["beam"]))["beam"], report

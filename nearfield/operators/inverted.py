@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .search import ranked
 
 
+def tokens_of(objects: DataFrame) -> Column:
+    """The distinct tokens of s, of any type; null is none, and so is 0 among numbers, which is a sentinel there."""
+    own = F.array_distinct("s")
+    if isinstance(objects.schema["s"].dataType.elementType, NumericType):
+        return F.filter(own, lambda t: t.isNotNull() & (t != 0))
+    return F.filter(own, lambda t: t.isNotNull())
+
+
 def postings(objects: DataFrame) -> DataFrame:
-    """(token, id): tokens are of any type; token 0 and null are none; repeated tokens count once."""
-    exploded = objects.select("id", F.explode(F.array_distinct("s")).alias("token")).where(F.col("token").isNotNull())
-    return exploded.where(F.col("token").cast("string") != "0")
+    """(token, id), repeated tokens once."""
+    return objects.select(F.explode(tokens_of(objects)).alias("token"), "id")
 
 
 def overlap(queries: DataFrame, objects: DataFrame, t: int = 1) -> DataFrame:
     """(qid, id, i, m, n) of objects that share at least t tokens: shared, query's and object's sizes."""
     q = postings(queries.select(F.col("qid").alias("id"), "s")).withColumnRenamed("id", "qid")
     shared = q.join(postings(objects), "token").groupBy("qid", "id").agg(F.count("*").alias("i")).where(F.col("i") >= t)
-    sizes = lambda df, key, name: df.select(key, F.size(F.array_distinct("s")).alias(name))
+    sizes = lambda df, key, name: df.select(key, F.size(tokens_of(df)).alias(name))
     return shared.join(sizes(queries, "qid", "m"), "qid").join(sizes(objects, "id", "n"), "id")
 
 
@@ -57,6 +65,23 @@ def sparse_cosine(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return ranked(dots.select("qid", "id", (F.lit(1.0) - F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("dist")), k)
 
 
+def sparse_search(queries: DataFrame, vectors: DataFrame, kind: str, k: int) -> DataFrame:
+    """k nearest among vectors that share a term: normcosine and normangle of unit vectors, angle of any."""
+    dots = sparse_dot(queries, vectors)
+    similarity = F.col("dot")
+    if kind == "angle":
+        dots = dots.join(sparse_norms(vectors), "id").join(sparse_norms(queries).select(F.col("id").alias("qid"), F.col("norm").alias("q_norm")), "qid")
+        similarity = similarity / (F.col("norm") * F.col("q_norm"))
+    d = F.lit(1.0) - similarity if kind == "normcosine" else F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), similarity)))
+    return ranked(dots.select("qid", "id", d.alias("dist")), k)
+
+
+def append(postings_: DataFrame, objects: DataFrame) -> DataFrame:
+    """Postings (token, id) with those of the objects that aren't in them yet."""
+    new = objects.join(postings_.select("id").distinct(), "id", "left_anti")
+    return postings_.unionByName(postings(new))
+
+
 def centroids(vectors: DataFrame, by: str) -> DataFrame:
     """(by, term, w, unit): the sum of the vectors of each group, and scaled to unit length."""
     total = vectors.groupBy(by, "term").agg(F.sum("w").alias("w"))

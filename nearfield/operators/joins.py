@@ -38,24 +38,34 @@ def metric_join(left: DataFrame, right: DataFrame, dist, k: int, rank: int = 1,
     return bounds.where(F.col("dist") <= F.coalesce("own", "fallback")).select("a", "b", "rank", "dist")
 
 
-def hsp_fold(v: np.ndarray, dist: np.ndarray, block) -> list[int]:
-    """Positions kept, in ascending distance: one goes if a kept one is nearer to it than the query is."""
+def hsp_fold(v: np.ndarray, dist: np.ndarray, order: list[int], block, near: float | None = None, rng: np.random.Generator | None = None) -> list[int]:
+    """Positions kept, in the given order: one goes if a kept one is nearer to it than the query is. Those within
+    `near` of the query, but the first, stay with a probability that halves with each."""
     kept: list[int] = []
-    for i in range(len(v)):
-        if not kept or (block(v[i : i + 1], v[kept])[0] >= dist[i]).all():
+    chance = 1.0
+    for i in order:
+        if kept and near is not None and dist[i] <= near:
+            if rng.random() < chance:
+                kept.append(i)
+                chance /= 2
+        elif not kept or (block(v[i : i + 1], v[kept])[0] >= dist[i]).all():
             kept.append(i)
     return kept
 
 
-def hsp(hits: DataFrame, objects: DataFrame, dist) -> DataFrame:
-    """(qid, id, rank, dist) of the half-space proximal neighbours among each query's candidates (k rows a query)."""
+def hsp(hits: DataFrame, objects: DataFrame, dist, order: str = "ascending", near: float | None = None, seed: int = 0) -> DataFrame:
+    """(qid, id, rank, dist) of the half-space proximal neighbours among each query's candidates (k rows a query).
+
+    order descending gives the distal choice, from the farthest; `near` spares some near duplicates of the query.
+    """
     joined = hits.join(objects, "id")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["dist", "id"]).reset_index(drop=True)
-        kept = hsp_fold(np.array(group["v"].tolist(), np.float64), group["dist"].to_numpy(), dist.block)
-        out = group.loc[kept, ["qid", "id", "rank", "dist"]]
-        return out
+        places = list(range(len(group)))
+        rng = np.random.default_rng([seed, abs(int(group["qid"].iloc[0]))])
+        kept = hsp_fold(np.array(group["v"].tolist(), np.float64), group["dist"].to_numpy(), places if order == "ascending" else places[::-1], dist.block, near, rng)
+        return group.loc[kept, ["qid", "id", "rank", "dist"]]
 
     return joined.select("qid", "id", "rank", "dist", "v").groupBy("qid").applyInPandas(fold, "qid long, id long, rank int, dist double")
 

@@ -1,15 +1,15 @@
-"""Representatives and near-duplicate removal. Random choices order ids by xxhash64(id, seed), so that results don't
-depend on partitioning. Loops run over centers or rounds, never over rows, and cut lineage with checkpoints."""
+"""Representatives and near-duplicate removal. Random choices order ids by the MD5 digest of "id:seed", so that
+results don't depend on partitioning. Loops run over centers or rounds, never over rows, and cut lineage with checkpoints."""
 
 from __future__ import annotations
 
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import assign, within
+from .search import assign, pairs, within
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,6 +20,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def hash_order(seed: int, *names: str) -> Column:
+    """A key that orders rows at random, by id or other columns."""
+    return F.md5(F.concat_ws(":", *[F.col(n).cast("string") for n in names or ("id",)], F.lit(str(seed))))
+
+
 def farthest_first(objects: DataFrame, dist, k: int, start: int, every: int = 10) -> tuple[DataFrame, dict]:
     """(id, center, dist) after k farthest-first centers from `start`, and a report: centers in order, covradius (the
     greatest distance to a center) and separation (the least distance between centers). k stops at the objects' number.
@@ -47,7 +52,7 @@ def farthest_first(objects: DataFrame, dist, k: int, start: int, every: int = 10
 
 def random_centers(objects: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """k distinct objects, first in hash order."""
-    return objects.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k)
+    return objects.orderBy(hash_order(seed), "id").limit(k)
 
 
 def random_selection(objects: DataFrame, dist, k: int, seed: int = 0) -> DataFrame:
@@ -58,7 +63,7 @@ def random_selection(objects: DataFrame, dist, k: int, seed: int = 0) -> DataFra
 def density_net(objects: DataFrame, dist, centers: int, seed: int = 0) -> DataFrame:
     """(id, center, dist): again and again the last object left in hash order takes its n // centers nearest as a group,
     itself among them."""
-    left = cut(objects.select("id", "v").withColumn("order", F.xxhash64("id", F.lit(seed))))
+    left = cut(objects.select("id", "v").withColumn("order", hash_order(seed)))
     size = max(1, left.count() // centers)
     groups: list[DataFrame] = []
     while (pivot := left.orderBy(F.desc("order"), F.desc("id")).limit(1).first()) is not None:
@@ -78,7 +83,7 @@ def multi_random(objects: DataFrame, dist, k: int, seed: int = 0) -> tuple[DataF
     greatest sum of distances to the centers so far. Only k blocks of candidates reach the driver, k log2 n vectors."""
     n = objects.count()
     k, m = min(k, n), max(1, int(np.ceil(np.log2(max(n, 2)))))
-    rows = objects.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k * m).collect()
+    rows = objects.orderBy(hash_order(seed), "id").limit(k * m).collect()
     chosen, gap = [rows[0]], float("inf")
     for at in range(m, min(len(rows), k * m), m):
         block = rows[at : at + m]
@@ -90,16 +95,21 @@ def multi_random(objects: DataFrame, dist, k: int, seed: int = 0) -> tuple[DataF
     return assign(objects, centers, dist), {"centers": [c["id"] for c in chosen], "separation": gap}
 
 
-def near_duplicates(objects: DataFrame, dist, epsilon: float) -> DataFrame:
+def near_duplicates(objects: DataFrame, dist, epsilon: float, block: int | None = None, filter_blocks: bool = True) -> DataFrame:
     """(id, nn, dist, kept): the greedy net in id order. An object is kept if no kept one of smaller id is within
     epsilon; others name their nearest kept object of smaller id.
 
+    With `block`, ids are dealt in blocks of that many, and an object names one of an earlier block if any is within
+    epsilon; without filter_blocks, objects of one block aren't compared with each other.
+
     The greedy pass is restated as rounds over the links: an undecided object with a kept smaller neighbour goes; one
     whose smaller neighbours are all gone stays.
     """
     ids = objects.select("id")
     links = within(objects.withColumnRenamed("id", "qid"), objects, dist, epsilon).where("id < qid")
-    links = cut(links.select(F.col("qid").alias("b"), F.col("id").alias("a"), "dist"))
+    same = F.lit(False) if block is None else F.floor(F.col("qid") / block) == F.floor(F.col("id") / block)
+    links = links.select(F.col("qid").alias("b"), F.col("id").alias("a"), "dist", same.alias("same"))
+    links = cut(links if filter_blocks else links.where("not same"))
     state = cut(ids.select("id", F.lit(None).cast("boolean").alias("kept")))
     while True:
         around = links.select("a", "b").join(state.select(F.col("id").alias("a"), F.col("kept").alias("a_kept")), "a")
@@ -108,7 +118,7 @@ def near_duplicates(objects: DataFrame, dist, epsilon: float) -> DataFrame:
         state = cut(state.join(seen, "id", "left").select("id", new.alias("kept")))
         if not state.where("kept is null").limit(1).count():
             break
-    order = Window.partitionBy("b").orderBy("dist", "a")
+    order = Window.partitionBy("b").orderBy("same", "dist", "a")
     nearest = links.join(state.where("kept").select(F.col("id").alias("a")), "a").withColumn("n", F.row_number().over(order)).where("n = 1")
     found = state.join(nearest.select(F.col("b").alias("id"), F.col("a").alias("near"), "dist"), "id", "left")
     return found.select("id", F.when(F.col("kept"), F.col("id")).otherwise(F.col("near")).alias("nn"), F.when(F.col("kept"), F.lit(0.0)).otherwise(F.col("dist")).alias("dist"), "kept")
@@ -116,7 +126,31 @@ def near_duplicates(objects: DataFrame, dist, epsilon: float) -> DataFrame:
 
 def distance_sample(objects: DataFrame, dist, share: float, seed: int = 0) -> DataFrame:
     """(a, b, dist) of a share of all pairs a < b, chosen by hash. Pairs are blocks of slots, as in a search."""
-    from .search import pairs
-
-    both = pairs(objects.withColumnRenamed("id", "qid"), objects).where("qid < id").where(F.pmod(F.xxhash64("qid", "id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    both = pairs(objects.withColumnRenamed("id", "qid"), objects).where("qid < id")
+    if share < 1:
+        both = both.where(hash_order(seed, "qid", "id") < F.lit(f"{int(share * 16**8):08x}"))
     return both.select(F.col("qid").alias("a"), F.col("id").alias("b"), dist(F.col("q"), F.col("v")).alias("dist"))
+
+
+def distance_pairs(objects: DataFrame, dist, n: int, seed: int = 0) -> DataFrame:
+    """(a, b, dist) of n random pairs: two random choices of n objects, one by one; an object may meet itself."""
+    def side(name: str, own: int) -> DataFrame:
+        first = objects.orderBy(hash_order(own), "id").limit(n)
+        return first.select(F.col("id").alias(name), F.col("v").alias(f"v_{name}"), F.row_number().over(Window.orderBy(hash_order(own, "id"), "id")).alias("n"))
+
+    both = side("a", seed).join(side("b", seed + 1), "n")
+    return both.select("a", "b", dist(F.col("v_a"), F.col("v_b")).alias("dist"))
+
+
+def random_sample(objects: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """(draw, id): n draws with replacement. A draw is a place in the objects' hash order; places are counted by hash
+    prefix first and then inside a prefix, so that no task ranks all objects."""
+    keyed = objects.select("id", hash_order(seed).alias("h")).withColumn("prefix", F.substring("h", 1, 3))
+    counted = keyed.groupBy("prefix").agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = counted.select("prefix", before.alias("before"), F.sum("rows").over(Window.partitionBy()).alias("total"))
+    placed = keyed.join(counted, "prefix").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("prefix").orderBy("h", "id")) - 1)
+    total = counted.select("total").limit(1)
+    digits = F.conv(F.substring(hash_order(seed, "draw"), 1, 15), 16, 10).cast("long")
+    draws = objects.sparkSession.range(n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total)).select("draw", F.pmod(digits, F.col("total")).alias("place"))
+    return draws.join(placed.select("place", "id"), "place").select("draw", "id")

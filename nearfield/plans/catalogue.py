@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distances as D
 from ..functions import vectors as V
-from ..operators import evaluate, graph, inverted, joins, search, select
+from ..operators import evaluate, graph, inverted, joins, results, sat, search, select
 
 K = 10
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,6 +134,40 @@ def container_bounds(s, d):
     return hits.groupBy("qid").agg(F.min(first)["id"].alias("nearest"), F.round(F.min("dist"), 6).alias("least"), F.max(last)["id"].alias("frontier"), F.round(F.max("dist"), 6).alias("covradius"))
 
 
+KNN_L2 = f"WITH {EMB}, {knn_sql(TERM['l2'])}"
+
+
+def hits_l2(s, d, k=K):
+    e = vectors(s, d)
+    return search.knn(asked(e), e, D.L2, k)
+
+
+@query(f"{KNN_L2} SELECT qid, id, rank - 1 AS rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank BETWEEN 2 AND {K - 1}")
+def result_pops(s, d):
+    return shown(results.pop_max(results.pop_min(hits_l2(s, d))))
+
+
+@query(f"{KNN_L2} SELECT n.qid, n.id AS nearest, f.id AS frontier, round(f.d, 6) + 0.0::DOUBLE AS radius, CASE WHEN n.qid >= 0 THEN 'Infinity'::DOUBLE END AS open FROM r n JOIN r f USING (qid) WHERE n.rank = 1 AND f.rank = {K}")
+def result_ends(s, d):
+    hits = hits_l2(s, d)
+    n, f = results.nearest(hits).select("qid", F.col("id").alias("nearest")), results.frontier(hits).select("qid", F.col("id").alias("frontier"))
+    r = results.covering_radius(hits, K).select("qid", (F.round("radius", 6) + F.lit(0.0)).alias("radius"))
+    return n.join(f, "qid").join(r, "qid").join(results.covering_radius(hits, K + 1).withColumnRenamed("radius", "open"), "qid")
+
+
+@query(f"{KNN_L2} SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= 5")
+def result_sparse_roundtrip(s, d):
+    return shown(results.from_sparse(results.to_sparse(hits_l2(s, d)), 5))
+
+
+@query(f"{KNN_L2} SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}")
+def permuted_knn(s, d):
+    e = vectors(s, d)
+    places = sat.permutation(sat.build(e, D.L2))
+    moved = e.join(places, "id").select(F.col("pos").alias("id"), "v")
+    return shown(results.permuted(search.knn(asked(e), moved, D.L2, K), places))
+
+
 # Joins of two sides: even labels are left, odd ones right.
 SIDES = "l AS (SELECT * FROM e WHERE label % 2 = 0), g AS (SELECT * FROM e WHERE label % 2 = 1)"
 
@@ -177,12 +211,28 @@ def metricjoin_q90(s, d):
     return shown(joins.metric_join(*sides(s, d), D.L2, 8, rank=2, min_group=3), "a", "b", "rank")
 
 
-@query()
+def _hsp_sql(order: str) -> str:
+    return f"""WITH RECURSIVE {EMB}, {knn_sql(TERM['l2'], 32)},
+    c AS (SELECT qid, id, rank, d, row_number() OVER (PARTITION BY qid ORDER BY rank {order}) AS pos FROM r WHERE rank <= 32 AND qid <> id),
+    x AS (SELECT c.qid, c.id, c.pos, list(o.id) FILTER (WHERE {TERM['l2']} < c.d) AS near FROM c JOIN c o ON o.qid = c.qid JOIN e a ON a.id = c.id JOIN e b ON b.id = o.id GROUP BY 1, 2, 3),
+    g AS (SELECT DISTINCT qid, 0::BIGINT AS pos, []::BIGINT[] AS kept FROM c UNION ALL
+          SELECT g.qid, x.pos, CASE WHEN list_has_any(g.kept, coalesce(x.near, [])) THEN g.kept ELSE list_append(g.kept, x.id) END FROM g JOIN x ON x.qid = g.qid AND x.pos = g.pos + 1),
+    k AS (SELECT qid, unnest(kept) AS id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos DESC) AS n FROM g) WHERE n = 1)
+    SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM k JOIN c USING (qid, id)"""
+
+
+@query(_hsp_sql("ASC"))
 def hsp_l2(s, d):
     e = vectors(s, d)
     return shown(joins.hsp(search.knn(asked(e), e, D.L2, 32).where("qid <> id"), e, D.L2))
 
 
+@query(_hsp_sql("DESC"))
+def hsp_distal(s, d):
+    e = vectors(s, d)
+    return shown(joins.hsp(search.knn(asked(e), e, D.L2, 32).where("qid <> id"), e, D.L2, order="descending"))
+
+
 @query(f"""WITH {EMB}, p AS (SELECT a.label AS cloud_a, a.id AS i, b.label AS cloud_b, min({TERM['l2']}) AS d FROM e a, e b GROUP BY 1, 2, 3),
 w AS (SELECT cloud_a, cloud_b, max(d) AS directed, avg(d) AS mean FROM p GROUP BY 1, 2)
 SELECT x.cloud_a, x.cloud_b, round(x.directed, 6) + 0.0::DOUBLE AS directed, round(greatest(x.directed, y.directed), 6) + 0.0::DOUBLE AS hausdorff, round(x.mean + y.mean, 6) + 0.0::DOUBLE AS chamfer
@@ -193,7 +243,18 @@ def cloud_hausdorff_chamfer(s, d):
 
 
 # Representatives.
-@query()
+ALL_PAIRS = f"dv AS (SELECT a.id, list({TERM['l2']} ORDER BY b.id) AS ds FROM e a, e b GROUP BY a.id), ids AS (SELECT list(id ORDER BY id) AS ids FROM e)"
+
+
+def centers_sql(n: int, seed: int) -> str:
+    return f"c AS (SELECT * FROM e ORDER BY md5(id::VARCHAR || ':{seed}'), id LIMIT {n}), ca AS (SELECT a.id, b.id AS center, {TERM['l2']} AS d FROM e a, c b), cn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, center) AS n FROM ca)"
+
+
+@query(f"""WITH RECURSIVE {EMB}, {ALL_PAIRS},
+f AS (SELECT 1 AS step, ds AS cur, list_transform(ds, lambda x: id) AS cen FROM dv WHERE id = 0 UNION ALL
+      SELECT t.step + 1, list_transform(list_zip(t.cur, dv.ds), lambda x: least(x[1], x[2])), list_transform(list_zip(t.cur, dv.ds, t.cen), lambda x: CASE WHEN x[2] < x[1] THEN dv.id ELSE x[3] END)
+      FROM (SELECT f.*, ids[list_position(cur, list_max(cur))] AS next FROM f, ids WHERE step < 12) t JOIN dv ON dv.id = t.next)
+SELECT id, center, round(d, 6) + 0.0::DOUBLE AS dist FROM (SELECT unnest(ids) AS id, unnest(cen) AS center, unnest(cur) AS d FROM f, ids WHERE step = 12)""")
 def fft_start0(s, d):
     return shown(select.farthest_first(vectors(s, d), D.L2, 12, 0)[0], "id", "center")
 
@@ -205,36 +266,83 @@ def assign_to_centers(s, d):
     return shown(search.assign(e, e.where("id < 16"), D.L2), "id", "center")
 
 
-@query()
+@query(f"WITH {EMB}, {centers_sql(16, 3)} SELECT id, center, round(d, 6) + 0.0::DOUBLE AS dist FROM cn WHERE n = 1")
 def randsel(s, d):
     return shown(select.random_selection(vectors(s, d), D.L2, 16, seed=3), "id", "center")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EMB}, s AS (SELECT greatest(1, count(*) // 6) AS size, list(id ORDER BY md5(id::VARCHAR || ':3'), id) AS rest FROM e),
+nb AS (SELECT a.id, list(b.id ORDER BY (b.id <> a.id)::INT, {TERM['l2']}, b.id) AS near FROM e a, e b GROUP BY a.id),
+g AS (SELECT rest, NULL::BIGINT AS center, []::BIGINT[] AS own FROM s UNION ALL
+      SELECT list_filter(t.rest, lambda x: NOT list_contains(t.own, x)), t.center, t.own
+      FROM (SELECT g.rest, nb.id AS center, list_filter(nb.near, lambda x: list_contains(g.rest, x))[1:s.size] AS own FROM g JOIN nb ON nb.id = g.rest[-1], s) t)
+SELECT x.id, x.center, round({TERM['l2']}, 6) + 0.0::DOUBLE AS dist FROM (SELECT center, unnest(own) AS id FROM g WHERE center IS NOT NULL) x JOIN e a ON a.id = x.id JOIN e b ON b.id = x.center""")
 def dnet(s, d):
     return shown(select.density_net(vectors(s, d), D.L2, 6, seed=3), "id", "center")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EMB}, m AS (SELECT ceil(log2(greatest(count(*), 2)))::BIGINT AS m FROM e),
+p AS (SELECT id, v, pos // m AS blk, pos FROM (SELECT *, row_number() OVER (ORDER BY md5(id::VARCHAR || ':3'), id) - 1 AS pos FROM e), m WHERE pos < 12 * m),
+ds AS (SELECT a.id, a.blk, a.pos, map_from_entries(list((b.id, {TERM['l2']}))) AS dm FROM p a, p b GROUP BY ALL),
+g AS (SELECT 0::BIGINT AS blk, [id] AS chosen FROM p WHERE pos = 0 UNION ALL
+      SELECT blk, list_append(chosen, id) FROM (SELECT t.*, row_number() OVER (ORDER BY far DESC, pos) AS n
+        FROM (SELECT ds.blk, ds.pos, ds.id, g.chosen, list_sum(list_transform(g.chosen, lambda x: ds.dm[x])) AS far FROM g JOIN ds ON ds.blk = g.blk + 1) t) WHERE n = 1),
+c AS (SELECT * FROM e WHERE id IN (SELECT unnest(chosen) FROM (SELECT chosen FROM g ORDER BY blk DESC LIMIT 1))),
+r AS (SELECT a.id, b.id AS center, {TERM['l2']} AS d FROM e a, c b), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, center) AS n FROM r)
+SELECT id, center, round(d, 6) + 0.0::DOUBLE AS dist FROM n WHERE n = 1""")
 def multirandsel(s, d):
     return shown(select.multi_random(vectors(s, d), D.L2, 12, seed=3)[0], "id", "center")
 
 
-@query(f"""WITH RECURSIVE {EMB}, n AS (SELECT a.id AS b, list(b.id) AS near FROM e a JOIN e b ON b.id < a.id AND {TERM['normcosine']} <= 0.65 GROUP BY a.id),
-o AS (SELECT e.id, coalesce(n.near, []) AS near, row_number() OVER (ORDER BY e.id) AS pos FROM e LEFT JOIN n ON n.b = e.id),
+def _neardup_sql(same: str = "false", linked: str = "true") -> str:
+    """same: whether a and b are of one block; linked: which links count."""
+    return f"""WITH RECURSIVE {EMB}, l AS (SELECT a.id, b.id AS nn, {TERM['normcosine']} AS d, {same} AS same FROM e a JOIN e b ON b.id < a.id WHERE {linked} AND {TERM['normcosine']} <= 0.65),
+o AS (SELECT e.id, coalesce(n.near, []) AS near, row_number() OVER (ORDER BY e.id) AS pos FROM e LEFT JOIN (SELECT id, list(nn) AS near FROM l GROUP BY id) n ON n.id = e.id),
 g AS (SELECT 0::BIGINT AS pos, []::BIGINT[] AS kept UNION ALL
       SELECT g.pos + 1, CASE WHEN list_has_any(g.kept, o.near) THEN g.kept ELSE list_append(g.kept, o.id) END FROM g JOIN o ON o.pos = g.pos + 1),
 k AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM g ORDER BY pos DESC LIMIT 1)),
-c AS (SELECT a.id, b.id AS nn, {TERM['normcosine']} AS d FROM e a JOIN e b ON b.id < a.id AND b.id IN (SELECT id FROM k) WHERE a.id NOT IN (SELECT id FROM k)),
-m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nn) AS n FROM c)
-SELECT id, id AS nn, 0.0::DOUBLE AS dist, true AS kept FROM k UNION ALL SELECT id, nn, round(d, 6) + 0.0::DOUBLE, false FROM m WHERE n = 1""")
+m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY same, d, nn) AS n FROM l WHERE nn IN (SELECT id FROM k) AND id NOT IN (SELECT id FROM k))
+SELECT id, id AS nn, 0.0::DOUBLE AS dist, true AS kept FROM k UNION ALL SELECT id, nn, round(d, 6) + 0.0::DOUBLE, false FROM m WHERE n = 1"""
+
+
+@query(_neardup_sql())
 def neardup_normcosine(s, d):
     return shown(select.near_duplicates(vectors(s, d), D.NORMCOSINE, 0.65), "id", "nn", "kept")
 
 
-@query()
+@query(_neardup_sql("a.id // 64 = b.id // 64"))
+def neardup_blocks(s, d):
+    return shown(select.near_duplicates(vectors(s, d), D.NORMCOSINE, 0.65, block=64), "id", "nn", "kept")
+
+
+@query(_neardup_sql(linked="a.id // 64 <> b.id // 64"))
+def neardup_blocks_unfiltered(s, d):
+    return shown(select.near_duplicates(vectors(s, d), D.NORMCOSINE, 0.65, block=64, filter_blocks=False), "id", "nn", "kept")
+
+
+def described(distances: DataFrame) -> DataFrame:
+    got = evaluate.describe(distances, "dist")
+    return got.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "median", "max")])
+
+
+DESCRIBED = "count(*) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS std, round(min(d), 6) AS min, round(median(d), 6) AS median, round(max(d), 6) AS max"
+
+
+@query(f"WITH {EMB}, h AS (SELECT {TERM['l2']} AS d FROM e a JOIN e b ON a.id < b.id AND md5(a.id::VARCHAR || ':' || b.id::VARCHAR || ':0') < '19999999') SELECT {DESCRIBED} FROM h")
 def distance_sample(s, d):
-    return evaluate.describe(select.distance_sample(vectors(s, d), D.L2, 0.1), "dist")
+    return described(select.distance_sample(vectors(s, d), D.L2, 0.1))
+
+
+@query(f"""WITH {EMB}, x AS (SELECT *, row_number() OVER (ORDER BY md5(id::VARCHAR || ':0'), id) AS n, row_number() OVER (ORDER BY md5(id::VARCHAR || ':1'), id) AS m FROM e)
+SELECT a.id AS a, b.id AS b, round({TERM['l2']}, 6) + 0.0::DOUBLE AS dist FROM x a JOIN x b ON a.n = b.m WHERE a.n <= 30""")
+def distance_pairs(s, d):
+    return shown(select.distance_pairs(vectors(s, d), D.L2, 30), "a", "b")
+
+
+@query("""WITH x AS (SELECT vec_id AS id, row_number() OVER (ORDER BY md5(vec_id::VARCHAR || ':5'), vec_id) - 1 AS place FROM embeddings)
+SELECT n AS draw, id FROM (SELECT n, ('0x' || substr(md5(n::VARCHAR || ':5'), 1, 15))::BIGINT AS u FROM (SELECT unnest(range(40)) AS n)) JOIN x ON place = u % (SELECT count(*) FROM x)""")
+def random_sample(s, d):
+    return select.random_sample(vectors(s, d), 40, seed=5)
 
 
 # Quantised codes, projections, sketches.
@@ -254,6 +362,11 @@ for _bits in (8, 4, 2):
     SQL[f"squ{_bits}_knn"] = f"WITH {EMB}, {QUANT.format(top=2**_bits - 1)}, " + knn_sql(TERM["l2"]).replace("FROM e a JOIN e b", "FROM y a JOIN y b") + f" SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}"
 
 
+for _bits, _name in ((8, "l1"), (8, "normcosine"), (4, "l1"), (4, "sql2"), (2, "sql2")):
+    Q[f"squ{_bits}_{_name}"] = lambda s, d, b=_bits, n=_name: shown(search.knn(asked(quantised(s, d, b)), quantised(s, d, b).select("id", "v"), D.VECTORS[n], K))
+    SQL[f"squ{_bits}_{_name}"] = f"WITH {EMB}, {QUANT.format(top=2**_bits - 1)}, " + knn_sql(TERM[_name]).replace("FROM e a JOIN e b", "FROM y a JOIN y b") + f" SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}"
+
+
 @query(f"WITH {EMB}, {QUANT.format(top=3)} SELECT a.id AS qid, b.id, round(list_sum(list_transform({ZIP}, lambda x: x[1] - x[2])), 6) + 0.0::DOUBLE AS dist FROM y a JOIN y b ON a.id % 50 = 0")
 def squ2_l1_signed(s, d):
     y = quantised(s, d, 2).select("id", "v")
@@ -279,6 +392,16 @@ def sqgu4_dot(s, d):
     return search.knn_expression(asked(global_codes(s, d, 4)), global_codes(s, d, 4), lambda a, b: -V.codes_dot(a, b), K)
 
 
+@query(_global_sql(8, f"-list_sum(list_transform({ZIP}, lambda x: x[1] * x[2]))"))
+def sqgu8_dot(s, d):
+    return search.knn_expression(asked(global_codes(s, d, 8)), global_codes(s, d, 8), lambda a, b: -V.codes_dot(a, b), K)
+
+
+@query(_global_sql(4, f"list_sum(list_transform({ZIP}, lambda x: (x[1] - x[2]) * (x[1] - x[2])))"))
+def sqgu4_sql2(s, d):
+    return search.knn_expression(asked(global_codes(s, d, 4)), global_codes(s, d, 4), V.codes_sql2, K)
+
+
 HAD = "t AS (SELECT id, list_transform(range(64), lambda i: list_sum(list_transform(range(64), lambda j: CASE WHEN bit_count((i & j)::BIGINT) % 2 = 0 THEN v[j + 1] ELSE -v[j + 1] END))) AS v FROM e)"
 
 
@@ -311,7 +434,18 @@ def bitsketch_hadamard_hamming(s, d):
     return search.knn_expression(asked(w), w, D.BITS["bits_hamming"], K)
 
 
-@query()
+def _projected_sql(matrix) -> str:
+    columns = ", ".join(f"list_inner_product(v, {[float(x) for x in column]}::DOUBLE[])" for column in matrix.T)
+    return f"WITH {EMB}, p AS (SELECT id, [{columns}] AS v FROM e), " + knn_sql(TERM["l2"]).replace("FROM e a JOIN e b", "FROM p a JOIN p b") + f" SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}"
+
+
+@query(_projected_sql(V.matrix_qr(64, 8, seed=2)))
+def projection_qr_knn(s, d):
+    p = vectors(s, d).select("id", V.project(F.col("v"), V.matrix_qr(64, 8, seed=2)).alias("v"))
+    return shown(search.knn(asked(p), p, D.L2, K))
+
+
+@query(_projected_sql(V.matrix_gaussian(64, 16, seed=1)))
 def projection_gaussian_knn(s, d):
     m = V.matrix_gaussian(64, 16, seed=1)
     p = vectors(s, d).select("id", V.project(F.col("v"), m).alias("v"))
@@ -339,6 +473,11 @@ def orders(s, d):
     return table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("s"))
 
 
+def baskets(s, d):
+    # tokens from 1: part keys start at 0, which is no token of an inverted file
+    return orders(s, d).select("id", F.transform("s", lambda x: x + 1).alias("s"))
+
+
 def _sets_sql(term: str, t: int = 1) -> str:
     return f"""WITH {SETS_CTE}, x AS (SELECT id, len(s) AS n, unnest(s) AS token FROM o),
 c AS (SELECT a.id AS qid, b.id, count(*) AS i, any_value(a.n) AS m, any_value(b.n) AS n FROM x a JOIN x b USING (token) WHERE a.id % 50 = 0 GROUP BY 1, 2 HAVING count(*) >= {t}),
@@ -349,13 +488,13 @@ SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}
 SET_TERMS = {"jaccard": "1 - i / (m + n - i)::DOUBLE", "dice": "1 - 2 * i / (m + n)::DOUBLE", "intersection": "1 - i / greatest(m, n)::DOUBLE", "cosineset": "1 - i / (sqrt(m::DOUBLE) * sqrt(n::DOUBLE))", "rogerstanimoto": "1 - (40000 - (m + n - 2 * i)) / (40000 + (m + n - 2 * i))::DOUBLE"}
 for _name, _term in SET_TERMS.items():
     _dist = D.SETS.get(_name) or D.rogers_tanimoto_set(40000)
-    Q[f"knn_{_name}"] = lambda s, d, dist=_dist: shown(inverted.search(asked(orders(s, d)), orders(s, d), dist, K))
+    Q[f"knn_{_name}"] = lambda s, d, dist=_dist: shown(inverted.search(asked(baskets(s, d)), baskets(s, d), dist, K))
     SQL[f"knn_{_name}"] = _sets_sql(_term)
 
 
 @query(_sets_sql(SET_TERMS["jaccard"], 2))
 def invfile_t2(s, d):
-    return shown(inverted.search(asked(orders(s, d)), orders(s, d), D.JACCARD, K, t=2))
+    return shown(inverted.search(asked(baskets(s, d)), baskets(s, d), D.JACCARD, K, t=2))
 
 
 def _posting_sql(having: str) -> str:
@@ -363,7 +502,7 @@ def _posting_sql(having: str) -> str:
 
 
 for _name, _t in (("posting_union", 1), ("posting_threshold", 2), ("posting_intersect", None)):
-    Q[_name] = lambda s, d, t=_t: inverted.threshold(asked(orders(s, d)), orders(s, d), t)
+    Q[_name] = lambda s, d, t=_t: inverted.threshold(asked(baskets(s, d)), baskets(s, d), t)
     SQL[_name] = _posting_sql("a.m" if _t is None else str(_t))
 
 
@@ -394,10 +533,12 @@ def _seq_sql(term: str) -> str:
     return f"WITH {SEQ_CTE}, h AS (SELECT a.id AS qid, b.id, {term} AS d FROM u a JOIN u b ON a.id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank FROM h) SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}"
 
 
-for _name, _term in (("hamming", f"list_sum(list_transform({ZIP}, lambda x: (x[1] <> x[2])::INT))::DOUBLE"), ("commonprefix", "1 - coalesce(list_min(list_filter(range(8), lambda i: a.v[i + 1] <> b.v[i + 1])), 8) / 8.0::DOUBLE"), ("lcs", None)):
+LETTERS = "list_reduce(list_transform({v}, lambda x: x[1]), lambda x, y: x || y)"
+SUBSEQUENCES = "list_distinct(list_transform(range(256), lambda k: array_to_string(list_filter(list_transform(range(8), lambda i: CASE WHEN (k >> i) % 2 = 1 THEN v[i + 1] END), lambda y: y IS NOT NULL), '')))"
+for _name, _term in (("edit", f"levenshtein({LETTERS.format(v='a.v')}, {LETTERS.format(v='b.v')})::DOUBLE"), ("hamming", f"list_sum(list_transform({ZIP}, lambda x: (x[1] <> x[2])::INT))::DOUBLE"), ("commonprefix", "1 - coalesce(list_min(list_filter(range(8), lambda i: a.v[i + 1] <> b.v[i + 1])), 8) / 8.0::DOUBLE"), ("lcs", "16.0::DOUBLE - list_max(list_transform(list_intersect(a.s, b.s), lambda x: length(x)))")):
     Q[f"seq_{_name}"] = lambda s, d, n=_name: shown(search.knn_expression(asked(sequences(s, d)), sequences(s, d), D.SEQS[n], K))
-    if _term:
-        SQL[f"seq_{_name}"] = _seq_sql(_term)
+    # of the longest common subsequence: all subsequences of eight two-letter symbols as strings
+    SQL[f"seq_{_name}"] = _seq_sql(_term) if _name != "lcs" else _seq_sql(_term).replace("h AS (", f"w AS (SELECT id, {SUBSEQUENCES} AS s FROM u), h AS (").replace("FROM u a JOIN u b", "FROM w a JOIN w b")
 
 
 # Sparse text: term counts of documents.
@@ -429,6 +570,13 @@ def sparse_cosine_knn(s, d):
     return shown(inverted.sparse_cosine(v.where(F.col("id") % 50 == 0), v, K))
 
 
+for _name, _sim, _d in (("normcosine", "dot", "1 - {}"), ("angle", "dot / (n.norm * m.norm)", "acos(greatest(-1, least(1, {})))"), ("normangle", "dot", "acos(greatest(-1, least(1, {})))")):
+    Q[f"sparse_{_name}_knn"] = lambda s, d, n=_name: shown(inverted.sparse_search(sparse(s, d).where(F.col("id") % 50 == 0), sparse(s, d), n, K))
+    SQL[f"sparse_{_name}_knn"] = f"""WITH {SPARSE}, n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM sp GROUP BY 1), p AS (SELECT a.id AS qid, b.id, sum(a.w * b.w) AS dot FROM sp a JOIN sp b USING (term) WHERE a.id % 50 = 0 GROUP BY 1, 2),
+    h AS (SELECT qid, p.id, {_d.format(_sim)} AS d FROM p JOIN n ON n.id = p.id JOIN n m ON m.id = p.qid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank FROM h)
+    SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}"""
+
+
 @query(f"WITH {SPARSE} SELECT id, array_to_string(list(term ORDER BY term), ',') AS terms, count(*) AS nnz FROM sp GROUP BY id")
 def sparse_results(s, d):
     return sparse(s, d).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("term")), ",").alias("terms"), F.count("*").alias("nnz"))
@@ -472,7 +620,9 @@ def pivot_knn_full_probe(s, d):
     return shown(search.pivot_search(asked(e), e, select.random_centers(e, 16, 1), D.L2, K))
 
 
-@query()
+@query(f"""WITH {EMB}, {centers_sql(16, 1)}, bk AS (SELECT id, center FROM cn WHERE n = 1), pr AS (SELECT id AS qid, center FROM cn WHERE n <= 8 AND id % 50 = 0),
+h AS (SELECT pr.qid, bk.id, {TERM['l2']} AS d FROM pr JOIN bk USING (center) JOIN e a ON a.id = pr.qid JOIN e b ON b.id = bk.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank FROM h) SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}""")
 def pivot_knn(s, d):
     e = vectors(s, d)
     return shown(search.pivot_search(asked(e), e, select.random_centers(e, 16, 1), D.L2, K, probes=8))
@@ -484,7 +634,48 @@ def graph_knn(s, d):
     return shown(graph.search(asked(e), e, graph.build(e, D.L2), D.L2, K, beam=32))
 
 
+@query(f"{KNN_L2} SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}")
+def sat_knn(s, d):
+    e = vectors(s, d)
+    return shown(sat.search(asked(e), sat.build(e, D.L2), D.L2, K))
+
+
+@query(f"{KNN_L2} SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}")
+def sat_distal_forest_knn(s, d):
+    e = vectors(s, d)
+    return shown(sat.search(asked(e), sat.build(e, D.L2, "distal", minleaf=2, parts=4), D.L2, K))
+
+
+@query()
+def sat_beam_knn(s, d):
+    e = vectors(s, d)
+    return shown(sat.search(asked(e), sat.build(e, D.L2), D.L2, K, factor=0.9, beam=48))
+
+
+@query()
+def graph_references_knn(s, d):
+    e = vectors(s, d)
+    return shown(graph.search(asked(e), e, graph.build_by_references(e, select.random_centers(e, 32, 1), D.L2), D.L2, K, beam=32))
+
+
+@query()
+def graph_allknn(s, d):
+    e = vectors(s, d)
+    return shown(graph.allknn_graph(e, graph.build(e, D.L2), D.L2, 5))
+
+
 @query()
+def graph_hints(s, d):
+    e = vectors(s, d)
+    edges = select.cut(graph.build(e, D.L2))
+    found = None
+    for kind in ("random", "disjoint", "kdisjoint", "epsilon", "kcenters"):
+        own = graph.hints(e, edges, 12, kind, D.L2).select("id", F.lit(kind).alias("kind"))
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+@query(f"WITH {EMB}, {centers_sql(16, 1)} SELECT id, array_to_string(list(center ORDER BY center), '-') AS key FROM cn WHERE n <= 2 GROUP BY id")
 def knr_prefix_groups(s, d):
     e = vectors(s, d)
     return graph.prefix_groups(e, select.random_centers(e, 16, 1), D.L2)

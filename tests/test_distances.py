@@ -44,6 +44,8 @@ def test_sequences(spark):
     assert value(spark, D.common_prefix(a, b)) == pytest.approx(0.4)
     assert value(spark, D.hamming_seq(a, b)) == 2
     assert value(spark, D.lcs(a, b)) == 4
+    assert value(spark, D.levenshtein_seq(a, b)) == 2
+    assert value(spark, D.levenshtein_seq(array(["x"], "array<string>"), array([], "array<string>"))) == 1
     assert value(spark, D.levenshtein(F.lit("2235"), F.lit("2335"))) == 1
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.functions import distances as D
-from nearfield.operators import joins, search, select
+from nearfield.operators import graph, inverted, joins, sat, search, select
 from nearfield.plans import catalogue
 from nearfield.sources import tables
 from nearfield.streaming import ingest
@@ -52,7 +52,7 @@ def test_farthest_first(spark):
 def test_recall_of_approximate_indexes(spark):
     e = objects(spark)
     gold = search.knn(catalogue.asked(e), e, D.L2, 10)
-    for name, least in (("graph_knn", 0.8), ("pivot_knn", 0.6)):
+    for name, least in (("graph_knn", 0.8), ("pivot_knn", 0.6), ("graph_references_knn", 0.7), ("sat_beam_knn", 0.6)):
         assert search.recall(gold, catalogue.queries()[name](spark, DATA)).agg(F.avg("recall")).first()[0] >= least
 
 
@@ -68,6 +68,62 @@ def test_warehouses(spark):
     assert (row["a"], row["b"]) == (1, 6) and row["dist"] == pytest.approx(0.70710677)
 
 
+@pytest.mark.parametrize("policy, limit, parts", [("proximal", 40, 1), ("distal", 64, 2), ("random", 40, 1), ("random", 4096, 3)])
+def test_trees_are_exact(spark, policy, limit, parts):
+    e = objects(spark).where("id < 300")
+    tree = sat.build(e, D.L2, policy, parts=parts, limit=limit)
+    rows = {r["id"]: r for r in tree.collect()}
+    assert set(rows) == {r["id"] for r in e.select("id").collect()} and sum(r["parent"] is None for r in rows.values()) == parts
+    assert all(r["parent"] is None or rows[r["parent"]]["depth"] == r["depth"] - 1 for r in rows.values())
+    found = sat.search(catalogue.asked(e), tree, D.L2, 5)
+    gold = search.knn(catalogue.asked(e), e, D.L2, 5)
+    assert {(r["qid"], r["rank"]): r["id"] for r in found.collect()} == {(r["qid"], r["rank"]): r["id"] for r in gold.collect()}
+    assert sat.permutation(tree).select("pos").distinct().count() == 300
+
+
+def test_graph_upkeep(spark):
+    e = objects(spark).select("id", "v")
+    old, new = e.where("id % 10 <> 0"), e.where("id % 10 = 0")
+    edges = select.cut(graph.append(old, graph.build(old, D.L2), new, D.L2))
+    gold = search.knn(catalogue.asked(e), e, D.L2, 10)
+    beam, report = graph.tune(catalogue.asked(e), e, edges, D.L2, 10, graph.min_recall(0.8), beams=(8, 32))
+    assert max(r["recall"] for r in report) >= 0.8 and beam in (8, 32)
+    hints = graph.hints(e, edges, 16, "kdisjoint")
+    assert search.recall(gold, graph.search(catalogue.asked(e), e, edges, D.L2, 10, beam=32, entry=hints)).agg(F.avg("recall")).first()[0] >= 0.7
+    exact = joins.closest_pairs(e, e, D.L2, 2, same=True).first()
+    assert graph.closest_pairs_graph(e, edges, D.L2, 2).first()["dist"] == pytest.approx(exact["dist"])
+    assert graph.neighbours(edges, e.where("id < 3")).count() == 3
+    with pytest.raises(TypeError):
+        graph.Frozen(e, edges).add(edges)
+
+
+def test_rings_connect_large_groups(spark):
+    members = spark.range(500).select(F.lit("k").alias("key"), "id")
+    near = {}
+    for r in graph.rings(members).collect():
+        near.setdefault(r["src"], set()).add(r["dst"])
+        near.setdefault(r["dst"], set()).add(r["src"])
+    seen, waiting = {0}, [0]
+    while waiting:
+        fresh = near[waiting.pop()] - seen
+        seen |= fresh
+        waiting += fresh
+    assert len(seen) == 500 and max(map(len, near.values())) < 40
+
+
+def test_postings_append_once(spark):
+    a = spark.createDataFrame([(1, ["x", "y"]), (2, ["y"])], "id long, s array<string>")
+    assert inverted.append(inverted.postings(a.where("id = 1")), a).count() == 3
+
+
+def test_zero_is_a_sentinel_among_numbers_only(spark):
+    n = spark.createDataFrame([(1, [0, 1, 2]), (2, [0, 3]), (3, [2, None, 2])], "id long, s array<int>")
+    got = inverted.overlap(n.withColumnRenamed("id", "qid"), n).where("qid = 1").collect()
+    assert {(r["id"], r["i"], r["m"], r["n"]) for r in got} == {(1, 2, 2, 2), (3, 1, 2, 1)}
+    text = spark.createDataFrame([(1, ["0"]), (2, ["0", "a"])], "id long, s array<string>")
+    assert inverted.overlap(text.withColumnRenamed("id", "qid"), text).count() == 4
+
+
 def test_density_net_covers_all(spark):
     got = select.density_net(objects(spark), D.L2, 5, 1)
     assert got.count() == objects(spark).count() == got.select("id").distinct().count()
