@@ -48,3 +48,19 @@ def text_key(*columns: Column | str) -> Column:
     parts = [F.col(c) if isinstance(c, str) else c for c in columns]
     sides = [F.lpad(F.hex(F.xxhash64(F.lit(seed), *parts, *[p.isNull() for p in parts])), 16, "0") for seed in (11, 29)]
     return F.unhex(F.concat(*sides))
+
+
+#: A key with more than one HOTth of all rows is hot; there are fewer than HOT of them, whatever the data.
+HOT = 10_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str = "n", how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key, a count of the key's rows and stored rows (it is read thrice).
+
+    The fewer than HOT keys with more than one HOTth of all rows are broadcast, so that their rows stay where they are;
+    the others are shuffled. So no key's rows meet in one task. how: inner or left.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot, cold = right.where(F.col(rows) * HOT > total), right.where(F.col(rows) * HOT <= total)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return left.join(F.broadcast(hot), keys).unionByName(rest)

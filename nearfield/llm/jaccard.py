@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, text_key
+from .common import cut, hot_join, partitions, text_key
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -292,7 +292,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, tr
     same = counted.groupBy("size", "sum", "xor", "low").agg(F.sort_array(F.collect_set("tree")).alias("trees"), F.min(F.struct("tree", "label")).alias("of"))
     buckets = cut(same.select(F.monotonically_increasing_id().alias("bucket"), F.col("of.tree").alias("tree"), F.col("of.label").alias("label"), "size", "trees"))
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    inside = leaves.join(buckets, ["tree", "label"]).select("bucket", "class", "trees", n_blocks.alias("blocks"))
+    inside = hot_join(leaves, buckets, ["tree", "label"], "size").select("bucket", "class", "trees", n_blocks.alias("blocks"))
     inside = cut(inside.withColumn("block", F.pmod(F.xxhash64("class", F.lit(3)), F.col("blocks")).cast("int")))
     # n-grams of the classes that have candidates, from one text of each
     wanted = inside.select("class").distinct().join(classes.select("class", "text_key", "copies", "labels"), "class")
@@ -315,8 +315,8 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, tr
     named = classes.select("class", "set_key", "copies", "class_id").join(links, "class", "left").join(roots, F.col("class") == F.col("node"), "left")
     named = named.withColumn("root", F.coalesce("root", "class"))
     groups = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    named = named.join(groups, "root").select("set_key", "class_id", "group_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
-    found = signed.select("doc_id", "text_key", "set_key").join(named, "set_key", "left")
+    named = named.join(groups, "root").select("set_key", "copies", "class_id", "group_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    found = hot_join(signed.select("doc_id", "text_key", "set_key"), cut(named), ["set_key"], "copies", "left")
     lone = F.col("set_key").isNull()
     return found.select("doc_id", "text_key", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

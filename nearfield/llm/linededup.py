@@ -12,6 +12,8 @@ rank of its last 2^k lines) is equal. In each interval the first occurrence, by
 window is a later copy. A maximal repeated run of min_words words or more is the union of its windows, so all of its
 later copies go, and a shorter run stays.
 
+Frequent lines and windows join without meeting in one task (hot_join), and are counted with partial aggregation.
+
 Cases: null text stays null; blank lines belong to no run, but go where both neighbours go; rows with equal doc_id and
 text are one document given several times and are treated alike; null doc_id is first in order; an empty table gives
 an empty result; columns named like the results are replaced, other columns are kept.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, text_key
+from .common import cut, hot_join, partitions, text_key
 
 MIN_WORDS = 50
 RESULTS = ("n_lines", "removed_lines", "removed")
@@ -43,9 +45,9 @@ def segments(docs: DataFrame, min_words: int) -> DataFrame:
     every = cut(lines_of(docs))
     # equal documents under equal keys count once: the key names (doc_id, text), so (key, line) names a line
     counted = every.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("key", "line")).alias("low"), F.max(F.struct("key", "line")).alias("high"))
-    repeated = counted.where((F.col("n") > 1) & (F.col("low") != F.col("high"))).select("id")
+    repeated = cut(counted.where((F.col("n") > 1) & (F.col("low") != F.col("high"))).select("id", "n", F.lit(True).alias("again")))
     # lines without words leave no gap: a segment breaks at a line with words that isn't repeated
-    numbered = every.join(repeated.withColumn("again", F.lit(True)), "id", "left")
+    numbered = hot_join(every, repeated, ["id"], how="left")
     by_doc = numbered.groupBy("key", "doc_id").agg(F.max("again").alias("any"), F.array_sort(F.collect_set(F.struct("line", "id", "words", "again"))).alias("all")).where("any")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,19 +71,19 @@ def segments(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def ranked(pairs: DataFrame, columns: list[str]) -> DataFrame:
-    """The distinct rows of some columns with their rank: place in the order over the whole cluster, with gaps.
+    """The distinct rows of some columns with their number n and rank: place in the order over the whole cluster, with gaps.
 
     A range sort deals rows to partitions in order, so partition and place within it make an ordered number. Ranks are
     cut from their lineage: a repeated sort could number them anew.
     """
-    distinct = pairs.select(*columns).distinct()
+    distinct = pairs.groupBy(*columns).agg(F.count("*").alias("n"))
     return cut(distinct.repartitionByRange(partitions(pairs.sparkSession), *columns).sortWithinPartitions(*columns).withColumn("rank", F.monotonically_increasing_id()))
 
 
 def doubled(found: DataFrame, levels: int) -> DataFrame:
     """found with ranks: for each level k, the rank of each suffix by its first 2^k lines (null where fewer are left)."""
     pairs = found.select("segment", F.posexplode("ids").alias("at", "id"))
-    placed = pairs.join(ranked(pairs, ["id"]), "id").groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("at", "rank"))).alias("r"))
+    placed = hot_join(pairs, ranked(pairs, ["id"]), ["id"]).groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("at", "rank"))).alias("r"))
     state = cut(placed.select("segment", F.array(F.col("r.rank")).alias("ranks")))
     for level in range(levels):
         step = 1 << level
@@ -89,7 +91,7 @@ def doubled(found: DataFrame, levels: int) -> DataFrame:
         n = F.size(last) - step
         two = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("at"), last[i].alias("one"), last[i + step].alias("two")))  # noqa: B023
         pairs = state.where(n > 0).select("segment", F.explode(two).alias("p")).select("segment", "p.*")
-        placed = pairs.join(ranked(pairs, ["one", "two"]), ["one", "two"]).groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("at", "rank"))).alias("r"))
+        placed = hot_join(pairs, ranked(pairs, ["one", "two"]), ["one", "two"]).groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("at", "rank"))).alias("r"))
         grown = state.join(placed, "segment", "left")
         state = cut(grown.select("segment", F.concat("ranks", F.array(F.coalesce(F.col("r.rank"), F.array().cast("array<long>")))).alias("ranks")))
     return found.join(state, "segment")
@@ -140,8 +142,8 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return found.select("key", F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"))).alias("spans"))
     spans = cut(windows(doubled(found, levels), min_words))
     place = F.struct(F.col("doc_id").isNotNull(), "doc_id", "key", "first")
-    kept = spans.groupBy("length", "head", "tail").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = spans.join(kept, ["length", "head", "tail"]).where(place != F.col("kept"))
+    kept = spans.groupBy("length", "head", "tail").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    later = hot_join(spans, cut(kept), ["length", "head", "tail"]).where(place != F.col("kept"))
     return later.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 

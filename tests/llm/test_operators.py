@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.llm import catalogue, htmltext, jaccard, langid, licences, linededup, media, mixing, packing, pii, topk
+from nearfield.llm import catalogue, common, htmltext, jaccard, langid, licences, linededup, media, mixing, packing, pii, topk
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, spans string"
@@ -64,6 +64,26 @@ def test_awkward_and_empty_tables(spark, name):
     assert OPERATORS[name](awkward(spark).limit(0)).collect() == []
 
 
+def test_awkward_pages_and_vectors(spark):
+    pages = [(1, "u", None, "x", 1), (None, None, "", "x", 2), (3, "u", "<p>a<p>b", None, None), (3, "u", "<p>a<p>b", None, None), (4, "u", "<div>" * 3000 + "deep", "x", 1), (5, "u", "<p>" + "long " * 50000, "x", 1), (6, "u", "<<>&#xZ; </b", "x", 1)]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string, text string, n_chars long")
+    got = htmltext.extract(pages).collect()
+    assert len(got) == 7 and [r["text"] for r in got if r["page_id"] == 3] == ["a\nb", "a\nb"] and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert htmltext.extract(pages.limit(0)).collect() == []
+    vectors = spark.createDataFrame([(0, [1.0], 5, "r"), (0, [1.0], 5, "r"), (1, [1.0], 6, "r"), (2, [1.0], 7, None), (None, [1.0], 8, None)], "vec_id long, embedding array<double>, rank int, score string")
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in topk.top_k(vectors).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
+    assert topk.top_k(vectors.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("hot", [1, 3, 10_000])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_join_is_a_join(spark, monkeypatch, hot, how):
+    monkeypatch.setattr(common, "HOT", hot)
+    left = spark.createDataFrame([(1, "a")] * 9 + [(2, "b"), (3, "c"), (None, "d")], "k int, x string")
+    right = spark.createDataFrame([(1, 9, "p"), (2, 1, "q"), (9, 1, "r")], "k int, n long, y string")
+    assert sorted(map(str, common.hot_join(left, right, ["k"], how=how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+
+
 def test_mix_targets(spark):
     rows = mixing.mix(docs_of(spark)).collect()
     by = {}
