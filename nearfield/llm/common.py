@@ -57,10 +57,14 @@ HOT = 10_000
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str = "n", how: str = "inner") -> DataFrame:
     """left joined with right, which has one row a key, a count of the key's rows and stored rows (it is read thrice).
 
-    The fewer than HOT keys with more than one HOTth of all rows are broadcast, so that their rows stay where they are;
-    the others are shuffled. So no key's rows meet in one task. how: inner or left.
+    A key is dealt over as many salts as it has HOTths of all rows, one for most; right repeats a row for each of its
+    salts, which adds fewer than 2 * HOT rows. Fewer than HOT keys have several salts: only those are broadcast, to
+    salt left. So no key's rows meet in one task. how: inner or left.
     """
     total = right.agg(F.sum(rows)).first()[0] or 0
-    hot, cold = right.where(F.col(rows) * HOT > total), right.where(F.col(rows) * HOT <= total)
-    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
-    return left.join(F.broadcast(hot), keys).unionByName(rest)
+    salted = right.withColumn("_salts", F.greatest(F.ceil(F.col(rows) * HOT / F.lit(max(total, 1))), F.lit(1)).cast("int"))
+    hot = F.broadcast(salted.where("_salts > 1").select(*keys, "_salts"))
+    salt = F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("_salts")).cast("int"))
+    dealt = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
+    repeated = salted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
