@@ -7,11 +7,13 @@ calibrated on held-out examples and a threshold for each kind, set for precision
 selected proposals go to the higher score; a proposal that overlaps a base span is dropped.
 
 Cases: null text is empty and has no spans; repeated rows give equal results; other columns are ignored; an empty table
-gives an empty result. Work is linear in the text: no pattern is tried again inside a run where it has failed.
+gives an empty result. Work is linear in the text: no pattern is tried again inside a run where it has failed,
+and no run is too long for one.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -36,7 +38,9 @@ LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-NOT_DIGIT = re.compile(r"[^0-9]+")
+DIGIT, NOT_DIGIT = re.compile(r"[0-9]"), re.compile(r"[^0-9]+")
+#: An address needs an @ or the word at.
+MAY_BE_EMAIL = re.compile(r"@|\bat\b", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -64,7 +68,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns, by start, then kind as listed."""
     found = [(a, b, "email") for a, b in emails(text)] if "@" in text else []
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(own := part.lstrip("0")) < 4 and int(own or "0") <= 255 for part in m[0].split(".")):
             found.append((m.start(), m.end(), "ip"))
     for m in CARD.finditer(text):
         digits = NOT_DIGIT.sub("", m[0])
@@ -83,7 +87,7 @@ GENERATORS = {
     "phone_local": re.compile(r"(?<![\w+.-])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ ./-][0-9]{2,5}){2,4}(?![\w-])", re.A),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A),
     "identity": re.compile(r"(?<![\w.-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![\w-])", re.A),
-    "secret": re.compile(r"(?<![A-Za-z0-9/+_=-])[A-Za-z0-9/+_=-]{16,128}+(?![A-Za-z0-9/+_=-])", re.A),
+    "secret": re.compile(r"(?<![A-Za-z0-9/+_=-])[A-Za-z0-9/+_=-]{16,}+", re.A),
 }
 # Words that stand near personal data, by kind.
 CUES = {
@@ -98,14 +102,14 @@ WINDOW = 32
 
 
 def propose(text: str) -> list[tuple[int, int, str]]:
-    """Overlapping proposals of all generators; digits, @ or 'dot' must occur for one to be tried."""
-    digits = any(c in text for c in "0123456789")
+    """Overlapping proposals of all generators; one is skipped only where a character or word that it needs is missing."""
+    digits = DIGIT.search(text) is not None
     found = []
     for kind, pattern in GENERATORS.items():
         if kind == "email_obfuscated":
-            if "dot" not in text.lower() and "@" not in text:
+            if not MAY_BE_EMAIL.search(text):
                 continue
-        elif not digits:
+        elif kind != "secret" and not digits:
             continue
         found += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
     return found
@@ -185,11 +189,14 @@ def examples(count: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
                 f"{pick(['', 'key ', 'aws '])}AKIA{coded(16, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')}", f"password={coded(rng.randint(12, 24), '0123456789abcdef')}",
                 f'{pick(["token", "secret", "api_key", "auth", "key"])} = "{coded(rng.choice([32, 40, 64]), "0123456789abcdef")}"', f"{pick(['token', 'bearer', 'api key', 'secret'])}: {coded(rng.randint(24, 48), alnum)}",
                 f"ghp_{coded(36, alnum)}", f"sk-{coded(40, alnum)}", f"pwd={coded(rng.randint(14, 20), alnum)}",
+                f"{pick(['token', 'bearer', 'secret'])}: {coded(rng.randint(130, 400), alnum + '_-')}", f"eyJ{coded(rng.randint(30, 300), alnum)}",
+                f"{pick(['password', 'passwd', 'secret'])}={coded(rng.randint(12, 24), alnum[26:52])}",
             ])
         return pick([
             f"{name()}-{name()}-{name()}-{name()}", f"{name()}_{name()}_{name()}{number(1)}", f"{name()}/{name()}/{name()}/{name()}", name() + name() + name() + name(),
             f"{pick(['order', 'part', 'id', 'number'])} {number(rng.randint(16, 22))}", f"{pick(['commit', 'sha', 'build', 'file'])} {coded(40, '0123456789abcdef')}", "=" * rng.randint(16, 40), "-" * rng.randint(16, 60),
             f"{name().title()}{name().title()}{name().title()}{number(2)}x", f"{number(4)}-{number(4)}-{number(4)}-{number(4)}", f"{number(20)}",
+            "/".join(name() for _ in range(rng.randint(6, 40))), "-".join(name() for _ in range(rng.randint(6, 40))), pick("-=_") * rng.randint(80, 300), number(rng.randint(60, 300)),
         ])
 
     rows, labels, kinds = [], [], []
@@ -300,19 +307,18 @@ def select(text: str, base: list[tuple[int, int, str]], fitted) -> list[tuple[in
     for start, end, kind in sorted(propose(text)):
         while i < len(base) and base[i][1] <= start:
             i += 1
-        if not any(s < end and start < e for s, e, _ in base[max(0, i - 4) : i + 8]):
+        if i == len(base) or base[i][0] >= end:  # base[i] is the first that ends beyond the start
             proposals.append((start, end, kind))
     if not proposals:
         return []
     raw = trees.score(np.array([features(text, *p) for p in proposals]))
     p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
     ranked = sorted((-v, *span) for v, span in zip(p, proposals) if v >= thresholds[span[2]])
-    kept: list[tuple[int, int, str]] = []
-    taken = set()
+    kept: list[tuple[int, int, str]] = []  # in order and disjoint
     for _, start, end, kind in ranked:
-        if taken.isdisjoint(range(start, end)):
-            taken.update(range(start, end))
-            kept.append((start, end, kind))
+        at = bisect.bisect_left(kept, (start,))
+        if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or kept[at][0] >= end):
+            kept.insert(at, (start, end, kind))
     return kept
 
 
@@ -348,7 +354,7 @@ def find(docs: DataFrame, fitted=None) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts by base kind, the checksum of the base spans and the list of all spans."""
+    """Counts by base kind, the checksum of the base spans, the numbers of added and of all spans, and the list of all."""
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["base"])
 
@@ -356,7 +362,8 @@ def digest(found: DataFrame) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
     counts = [count(kind) for kind in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+    added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), added, F.size("spans").cast("long").alias("n_spans"), shown(F.col("spans")).alias("spans"))
 
 
 def sha256(text: str) -> str:
