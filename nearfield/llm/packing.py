@@ -2,11 +2,14 @@
 
 Documents are tokenised once, in Arrow batches; only (document, piece, length, checksum) rows go on. The plan needs no
 more than the count of every length, of which there are at most `capacity`, so planning costs the same for any corpus.
-Exact complements come first: for each length, from the longest, single, pair and triple sums that fill the gap exactly
-are looked up among the available counts; where none is left, the best fit goes in and its residual gap is looked up
-in turn. Best fit packs the residual of lengths below a bound, for which the plan with the fewest sequences is taken.
-A plan is a list of patterns with multiplicities, a few for each length. Pieces take their place by their rank within their length; ranks are
-counted over (length, hash bucket) totals, so that no length's rows meet in one task.
+Exact complements come first: single, pair and triple sums of lengths are indexed, and for each length, from the longest,
+combinations that fill its gap exactly are looked up and consumed under the available counts; where none is left, the
+best fit goes in and its residual gap is looked up in turn. Best fit packs the residual, the lengths below a bound, for
+which the plan with the fewest sequences is taken. A plan is a list of patterns with multiplicities, a few for each
+length. Pieces take their place by their rank within their length; ranks are counted over (length, hash bucket) totals,
+and there are as many buckets as keep them small, so that no length's rows meet in one task.
+
+Ids are the tokenizer's own: a text that holds the name of an added token goes to the tokenizer itself.
 
 Cases: null text is empty and gives one piece, the end token; other columns are ignored; rows with equal doc_id are
 separate documents, and rows that are wholly equal are interchangeable; an empty table gives an empty result.
@@ -29,6 +32,8 @@ CAPACITY = 1024
 END = 2
 #: Lengths, evenly spread, at which a plan may go over from exact complements to best fit.
 STEPS = 16
+#: Rows that a hash bucket of ranks holds on average, at the most.
+BUCKET_ROWS = 50_000
 #: Entries of the table of encoded words in a Python worker; it is emptied when full.
 CACHED_WORDS = 400_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -63,12 +68,15 @@ class WordIds(dict):
 
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            whole = json.load(file)
         symbols = byte_symbols()
-        # special tokens hold no merge: their names in a text are ordinary text
-        ranks = {bytes([symbols[c] for c in token]): i for token, i in vocabulary.items() if not (token.startswith("<|") and token.endswith("|>"))}
+        # added tokens take part in no merge
+        self.added = [own["content"] for own in whole["added_tokens"] if own["content"]]
+        self.whole = Tokenizer.from_file(path)
+        ranks = {bytes([symbols[c] for c in token]): i for token, i in whole["model"]["vocab"].items() if token not in self.added}
         self.model = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
@@ -85,6 +93,8 @@ class WordIds(dict):
     def text(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(own in text for own in self.added):
+            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if UNSAFE.search(text):
             return self.encode(text)
         first, *rest = text.split(" ")
@@ -135,40 +145,53 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, SCHEMA + ", ids binary" * ids)
 
 
-def exact(gap: int, counts: np.ndarray) -> tuple[int, ...] | None:
-    """One, two or three available lengths whose sum is the gap, fewest and longest first."""
-    if gap <= 0:
+class Sums:
+    """Index of the sums of one, two and three lengths, for looking up what fills a gap exactly.
+
+    Pair sums are hashed to their lesser lengths; a triple sum to a length and the pair sum that it leaves. A lookup
+    takes the fewest lengths, and of those the longest first or, if balanced, the least uneven, which spares short ones.
+    """
+
+    def __init__(self, counts: np.ndarray, balanced: bool = False):
+        self.lengths = np.flatnonzero(counts)
+        self.balanced = balanced
+        one, two = (self.lengths[i] for i in np.triu_indices(len(self.lengths)))
+        fits = one + two < len(counts)
+        one, sums = one[fits], (one + two)[fits]
+        order = np.lexsort((one, sums))
+        one, sums = one[order], sums[order]
+        at = np.flatnonzero(np.diff(sums, prepend=-1))
+        self.pairs = dict(zip(sums[at].tolist(), np.split(one, at[1:]))) if len(at) else {}
+
+    def pair(self, total: int, counts: np.ndarray) -> tuple[int, int] | None:
+        low = self.pairs.get(total)
+        if low is None:
+            return None
+        at = np.flatnonzero((counts[low] > 0) & (counts[total - low] > 0) & ((2 * low != total) | (counts[low] > 1)))
+        if not len(at):
+            return None
+        own = int(low[at[-1 if self.balanced else 0]])
+        return total - own, own
+
+    def fill(self, gap: int, counts: np.ndarray) -> tuple[int, ...] | None:
+        """One, two or three available lengths whose sum is the gap."""
+        if gap <= 0:
+            return None
+        if counts[gap]:
+            return (gap,)
+        if found := self.pair(gap, counts):
+            return found
+        able = self.lengths[(self.lengths <= gap - 2) & (counts[self.lengths] > 0)]
+        for third in able[np.argsort(np.abs(3 * able - gap), kind="stable")] if self.balanced else able[::-1]:
+            counts[third] -= 1
+            found = self.pair(int(gap - third), counts)
+            counts[third] += 1
+            if found:
+                return (int(third), *found)
         return None
-    if counts[gap]:
-        return (gap,)
-    have = counts[: gap + 1] > 0
-    twice = counts[: gap + 1] > 1
-
-    def pair(total: int, without: int = 0) -> tuple[int, int] | None:
-        a = np.arange(1, total // 2 + 1)
-        ok = have[a] & have[total - a]
-        if total % 2 == 0 and len(a) and not twice[total // 2]:
-            ok[-1] = False
-        if without:
-            ok &= (a != without) & (total - a != without) | False
-        at = np.flatnonzero(ok)
-        return (int(total - a[at[0]]), int(a[at[0]])) if len(at) else None
-
-    if found := pair(gap):
-        return found
-    for c in np.flatnonzero(have)[::-1]:
-        c = int(c)
-        if c < 1 or gap - c < 2:
-            continue
-        if found := pair(gap - c, without=c):
-            return (c, *found)
-        # the same length twice or three times
-        if twice[c] and gap - 2 * c > 0 and have[gap - 2 * c] and (gap != 3 * c or counts[c] > 2):
-            return (c, c, gap - 2 * c)
-    return None
-
-
-def exact_first(counts: np.ndarray, until: int = 0) -> tuple[list[tuple[int, tuple[int, ...]]], np.ndarray]:
+
+
+def exact_first(counts: np.ndarray, until: int = 0, balanced: bool = False) -> tuple[list[tuple[int, tuple[int, ...]]], np.ndarray]:
     """(multiplicity, lengths) patterns for the pieces longer than `until`, from the longest, and the counts left over:
     exact complements of a gap first, and where there is none the best fit, whose residual gap is looked up again.
 
@@ -177,6 +200,7 @@ def exact_first(counts: np.ndarray, until: int = 0) -> tuple[list[tuple[int, tup
     capacity = len(counts) - 1
     counts = counts.astype(np.int64).copy()
     counts[0] = 0
+    sums = Sums(counts, balanced)
     found: list[tuple[int, tuple[int, ...]]] = []
 
     def take(pattern: tuple[int, ...]) -> None:
@@ -190,7 +214,7 @@ def exact_first(counts: np.ndarray, until: int = 0) -> tuple[list[tuple[int, tup
         while counts[length]:
             pattern, gap, left, rest = [length], capacity - length, counts.copy(), None
             left[length] -= 1
-            while gap > 0 and (rest := exact(gap, left)) is None and len(at := np.flatnonzero(left[: gap + 1])):
+            while gap > 0 and (rest := sums.fill(gap, left)) is None and len(at := np.flatnonzero(left[: gap + 1])):
                 # no exact complement: the best fit, whose own gap may have one
                 pattern.append(int(at[-1]))
                 left[at[-1]] -= 1
@@ -225,31 +249,33 @@ def best_fit(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
 def plan(counts: np.ndarray) -> list[tuple[int, tuple[int, ...]]]:
     """(multiplicity, lengths) patterns that use every piece; counts: pieces by length, up to the capacity.
 
-    Exact complements come first, best fit packs the residual. The length at which one gives way to the other is the
-    one with the fewest sequences of STEPS lengths; a plan without waste ends the search.
+    Exact complements come first, best fit packs the residual. Of STEPS lengths at which one may give way to the other
+    and two orders of complements, the plan with the fewest sequences is taken, ties to the one with most complements;
+    one without waste ends the search.
     """
     capacity = len(counts) - 1
     least = -(-int((np.arange(capacity + 1) * counts).sum()) // capacity)
     best, fewest = [], None
-    for step in range(STEPS + 1):
-        found, left = exact_first(counts, capacity * step // STEPS)
-        found += best_fit(left)
-        total = sum(times for times, _ in found)
-        if fewest is None or total < fewest:
-            best, fewest = found, total
-        if fewest <= least:
-            break
+    for step in range(STEPS):
+        for balanced in (False, True):
+            found, left = exact_first(counts, capacity * step // STEPS, balanced)
+            found += best_fit(left)
+            total = sum(times for times, _ in found)
+            if fewest is None or total < fewest:
+                best, fewest = found, total
+            if fewest <= least:
+                return best
     return best
 
 
 def assign(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut_up (the columns of SCHEMA) with sequence_id and offset. cut_up must not change when it is read again."""
     spark = cut_up.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(1024)).cast("int")
-    placed = cut_up.withColumn("bucket", bucket)
-    per_bucket = placed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     # at most `capacity` rows
-    totals = {r["length"]: r["n"] for r in per_bucket.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    totals = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    buckets = -(-max(totals.values(), default=1) // BUCKET_ROWS)
+    placed = cut_up.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(buckets)).cast("int"))
+    per_bucket = placed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in totals.items():
         counts[length] = n
