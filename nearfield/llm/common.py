@@ -18,14 +18,18 @@ def shared(spark: SparkSession) -> str:
     """The folder that all executors and the driver share."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df from the shared checkpoint folder, so that a lost executor costs no earlier stage.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a local folder is made.
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a local session makes a folder of its own
+    and any other is an error.
     """
     shared(df.sparkSession)
     return df.checkpoint()
@@ -38,6 +42,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
