@@ -12,7 +12,7 @@ whole texts, in slices, so that memory does not follow a text's length.
 
 Cases: null text, or one without a letter, is 'und' with score 0, ambiguous and foreign; null labels and null ids don't
 train; without any label every text is 'und'; repeated rows give equal results; ties go to the language first in
-code-point order; kept columns may have any name, those named like a result are an error; others are ignored; an empty
+code-point order; kept columns may have any name, those named like a result are replaced; others are ignored; an empty
 table gives an empty result.
 """
 
@@ -226,8 +226,7 @@ def train(counts: dict[str, np.ndarray]) -> Model:
 
 def identify(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, lang_pred, score, ambiguous, foreign and margins (a bit classifier's each) of every document."""
-    if clash := set(keep) & set(RESULTS):
-        raise ValueError(f"kept columns have names of results: {sorted(clash)}")
+    keep = tuple(c for c in keep if c not in RESULTS)
     return _identified(docs, model, keep).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"_{c}").alias(c) for c in RESULTS])
 
 

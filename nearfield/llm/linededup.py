@@ -26,10 +26,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, hot_join, partitions, text_key
+from .common import cut, hot_join, partitions, quoted, text_key
 
-MIN_WORDS = 50
+#: Words that a repeated run of whole lines must have. A passage of more than 50 words that begins or ends inside a line
+#: leaves fewer in whole lines.
+MIN_WORDS = 30
 RESULTS = ("n_lines", "removed_lines", "removed")
 
 
@@ -151,9 +154,25 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the later copies of runs of at least min_words words taken out of text, and n_lines, removed_lines
     and removed (array of the first and last numbers of lines that went)."""
     names = [c for c in docs.columns if c not in RESULTS]
+    done = _deduped(docs.select(*map(quoted, names)), min_words)
+    return done.select(*[(F.col("new") if c == "text" else F.col("row")[c]).alias(c) for c in names], *RESULTS)
+
+
+def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, length: str | None = None) -> DataFrame:
+    """The rows of docs, whatever their columns' names, without later copies; those of which nothing is left go. length
+    names a column that holds the number of characters of text, which is counted again where lines went."""
+    done = _deduped(docs, min_words).where((F.col("removed_lines") == 0) | F.col("new").rlike(r"\S"))
+    values = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("new")}
+    if length in values:
+        values[length] = F.when(F.col("removed_lines") > 0, F.length("new")).otherwise(values[length]).cast(docs.schema[length].dataType)
+    return done.select(*[values[c].alias(c) for c in docs.columns])
+
+
+def _deduped(docs: DataFrame, min_words: int) -> DataFrame:
+    """(row, new, n_lines, removed_lines, removed): row has the columns of docs, new is its text without later copies."""
     later = later_copies(docs, min_words)
-    own = docs.select(F.struct(*names).alias("row"), text_key("doc_id", "text").alias("key"))
-    joined = own.join(later, "key", "left").select("row", F.col("row.text").alias("old"), "spans")
+    own = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("text").alias("old"), text_key("doc_id", "text").alias("key"))
+    joined = own.join(later, "key", "left").select("row", "old", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -181,6 +200,6 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             types = (pa.string(), pa.int32(), pa.int32(), span)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, types))], names=["row", "new", *RESULTS])
 
-    row = joined.schema["row"].dataType.simpleString()
-    done = joined.mapInArrow(run, f"row {row}, new string, n_lines int, removed_lines int, removed array<struct<first:int,last:int>>")
-    return done.select(*[(F.col("new") if c == "text" else F.col("row")[c]).alias(c) for c in names], *RESULTS)
+    span = T.StructType([T.StructField(c, T.IntegerType()) for c in ("first", "last")])
+    results = (T.StringType(), T.IntegerType(), T.IntegerType(), T.ArrayType(span))
+    return joined.mapInArrow(run, T.StructType([joined.schema["row"], *(T.StructField(c, t) for c, t in zip(("new", *RESULTS), results))]))

@@ -72,5 +72,4 @@ def test_columns_may_have_any_name(spark, model):
     rows = spark.createDataFrame([tuple(str(i) for i in range(len(names) - 1)) + (FOREIGN["pl"],)], ", ".join("`" + c.replace("`", "``") + "` string" for c in names))
     assert langid.known_only(rows, model).columns == names
     assert [tuple(x)[:4] for x in langid.identify(rows, model, keep=("a b", "x`y", "_text", "text")).collect()] == [("5", "6", "8", FOREIGN["pl"])]
-    with pytest.raises(ValueError, match="score"):
-        langid.identify(rows, model, keep=("score",))
+    assert langid.identify(rows, model, keep=("score", "a b")).columns == ["a b", *langid.RESULTS]

@@ -246,36 +246,6 @@ def test_codewords_are_apart():
         assert len({tuple(c) for c in code}) == n
 
 
-def test_jaccard_brute_force(spark):
-    docs = docs_of(spark)
-    rows = [(r["doc_id"], jaccard.shingles(r["text"])) for r in docs.collect()]
-    r = random.Random(5)
-    base = [f"w{i}" for i in range(120)]
-    near = []
-    for i in range(700):  # one bucket of several blocks
-        words = list(base)
-        words[r.randrange(120)] = f"x{i}"
-        near.append((10_000 + i, " ".join(words)))
-    extra = spark.createDataFrame(near, "doc_id long, text string")
-    rows += [(d, jaccard.shingles(t)) for d, t in near]
-    links = {d: 0 for d, _ in rows}
-    parent = {d: d for d, _ in rows}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, (a, s) in enumerate(rows):
-        for b, t in rows[:i]:
-            if min(len(s), len(t)) * 1.25 >= max(len(s), len(t)) and len(s) and (n := len(np.intersect1d(s, t, assume_unique=True))) * 1.8 >= 0.8 * (len(s) + len(t)):
-                links[a], links[b] = links[a] + 1, links[b] + 1
-                x, y = sorted((root(a), root(b)))
-                parent[y] = x
-    got = jaccard.join(docs.select("doc_id", "text").union(extra)).collect()
-    assert {g["doc_id"]: (g["n_links"], g["group_id"]) for g in got} == {d: (links[d], root(d)) for d, _ in rows}
-
-
 def test_main_text():
     page = "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><a href=x>menu item</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>Head &amp; more</h1><p>First   para <b>bold</b> text that is long enough.<p>Ok.<form>search</form><div class=ad>Buy now</div></article><section id=comments><p>A reader's very long comment that is not wanted here at all.</p></section><footer>foot</footer>"
     assert htmltext.main_text(page) == "Head & more\nFirst para bold text that is long enough.\nOk."
