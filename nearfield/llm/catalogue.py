@@ -56,7 +56,7 @@ def op10_main_text(spark, sf_dir):
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS key
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key
   FROM documents),
 per_source AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),

@@ -95,6 +95,24 @@ def test_mix_targets(spark):
     assert all(abs(taken - target) <= longest and target <= 2 * size + 1e-6 for target, size, taken in by.values())
 
 
+def test_mix_is_in_the_order_of_its_schedules(spark):
+    rows = mixing.mix(docs_of(spark)).collect()
+    placed = [r["position"] for r in rows]
+    assert [p for p in placed if p is not None] == sorted(p for p in placed if p is not None) and placed == sorted(placed, key=lambda p: (p is None, p))
+    assert [mixing.weight(s) for s in mixing.SCHEDULES] == [3.0, 1.0, 2.0]
+    even = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int")).alias("source"))
+    due = {r["source"]: r["p"] for r in mixing.training_order(mixing.placed(even)).groupBy("source").agg(F.avg("position").alias("p")).collect()}
+    # the mean time under weights 1.5 - t, 0.5 + t and 1, of integral 1
+    assert due["a"] == pytest.approx(5 / 12, abs=0.01) and due["b"] == pytest.approx(7 / 12, abs=0.01) and due["c"] == pytest.approx(1 / 2, abs=0.01)
+
+
+def test_mix_of_one_key(spark):
+    rows = spark.createDataFrame([(None, f"w{i} x", "a") for i in range(300)] + [(1, "", "b"), (2, None, "b")], "doc_id long, text string, source string")
+    got = mixing.mix(rows).collect()
+    assert {r["source"]: r["target"] for r in got} == {"a": 900.0, "b": 0.0} and sum(r["taken"] for r in got) == 900
+    assert sorted(r["text"] for r in mixing.mixture(rows).collect()).__len__() == 450
+
+
 def test_packing_is_gapless_and_tight(spark):
     rows = packing.pack(docs_of(spark)).collect()
     by = {}
