@@ -10,32 +10,44 @@ from nearfield.llm.common import stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the languages learned from their labels; those without letters go."""
-    names = docs.columns
-    found = langid.identify(docs, keep=tuple(names))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("foreign")).select(*names)
+    """Documents whose text is in one of the languages learned from their labels.
+
+    Null and empty texts and those without letters go, as do foreign ones; with no labelled row all go. Repeated rows go
+    or stay alike; columns may have any name.
+    """
+    return langid.known_only(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs; those of which nothing is left go."""
-    found = linededup.dedup(docs)
-    left = found.where((F.col("removed_lines") == 0) | F.col("text").rlike(r"\S"))
-    counted = left.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return counted.select(*docs.columns)
+    """Documents without later copies of repeated line runs; those of which nothing is left go. n_chars is counted again.
+
+    Null texts stay; rows equal in doc_id and text are one document; columns may have any name.
+    """
+    return linededup.cleaned(docs, length="n_chars")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the first by doc_id, null last, then by text.
+
+    Texts without words (null and empty ones) all stay, but rows equal in doc_id and text are one; columns may have any
+    name.
+    """
     return jaccard.representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix of sources, in training order, repeats included."""
+    """The documents of the mix of sources, in training order, repeats included.
+
+    Null and empty texts have no words to take and go; null source is a source; columns may have any name.
+    """
     return mixing.mixture(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a sequence."""
+    """Every piece of every document with its place in a sequence.
+
+    Null text is empty, one piece of the end token; repeated rows are documents each; other columns don't matter.
+    """
     return packing.pack(docs)
 
 
@@ -45,7 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage but the last is written and read again."""
+    """All stages over the documents; each stage but the last is written and read again. Empty documents, empty result."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
