@@ -4,12 +4,11 @@ Kinds are mathematics: only a metric lets a planner prune by the triangle inequa
 Null or ragged vectors give a null distance; the operators reject them at the boundary.
 """
 
-from __future__ import annotations
-
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,12 +17,20 @@ Builder = Callable[[Column, Column], Column]
 
 @dataclass(frozen=True)
 class Distance:
-    """A distance: its kind (metric, semimetric, premetric), Column builder and, for vectors, a block kernel."""
+    """A distance: its kind (metric, semimetric, premetric), Column builder and, for vectors, a block kernel.
+
+    Where a product of matrices gives a distance cheaply but not to its last digits, rough is that: an increasing function
+    of the distance with an error of at most slack, and rows the exact distances of single pairs. level turns a distance
+    into rough's scale.
+    """
 
     name: str
     kind: str
     column: Builder
     block: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+    rough: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, float]] | None = None
+    rows: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+    level: Callable[[float], float] | None = None
 
     def __call__(self, a: Column, b: Column) -> Column:
         return self.column(a, b)
@@ -42,6 +49,21 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def dot32(a: Column, b: Column) -> Column:
+    """The inner product with single-precision terms and sums."""
+    terms = F.zip_with(a, b, lambda x, y: (x.cast("float") * y.cast("float")).cast("float"))
+    return F.aggregate(terms, F.lit(0.0).cast("float"), lambda s, t: (s + t).cast("float"))
+
+
+def norm32(a: Column) -> Column:
+    return F.sqrt(dot32(a, a)).cast("float")
+
+
+def sparse_dense_dot(places: Column, values: Column, dense: Column) -> Column:
+    """The inner product of a sparse vector (0-based places, values) with an array."""
+    return F.aggregate(F.zip_with(places, values, lambda i, x: x.cast("double") * F.get(dense, i).cast("double")), F.lit(0.0), lambda s, t: s + t)
+
+
 def _clamped(c: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
 
@@ -60,6 +82,18 @@ def _sq(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _rough_sq(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared L2 by a product of matrices, and a bound of its error: a few units in the last place of the sums."""
+    a, b = (q * q).sum(1), (x * x).sum(1)
+    slack = 8 * (q.shape[1] + 4) * np.finfo(np.float64).eps * float(a.max(initial=0.0) + b.max(initial=0.0))
+    return a[:, None] + b[None] - 2 * (q @ x.T), slack
+
+
+def _rows_sq(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    d = q - x
+    return np.einsum("ij,ij->i", d, d)
+
+
 def _tiled(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     def run(q: np.ndarray, x: np.ndarray) -> np.ndarray:
         out = np.empty((len(q), len(x)))
@@ -81,8 +115,8 @@ def lp(p: float) -> Distance:
 
 
 L1 = Distance("l1", "metric", lambda a, b: fold(a, b, lambda x, y: F.abs(x - y)), _tiled(lambda d: d.sum(-1)))
-SQL2 = Distance("sql2", "semimetric", lambda a, b: fold(a, b, lambda x, y: (x - y) * (x - y)), _sq)
-L2 = Distance("l2", "metric", lambda a, b: F.sqrt(SQL2.column(a, b)), lambda q, x: np.sqrt(_sq(q, x)))
+SQL2 = Distance("sql2", "semimetric", lambda a, b: fold(a, b, lambda x, y: (x - y) * (x - y)), _sq, _rough_sq, _rows_sq, lambda d: d)
+L2 = Distance("l2", "metric", lambda a, b: F.sqrt(SQL2.column(a, b)), lambda q, x: np.sqrt(_sq(q, x)), _rough_sq, lambda q, x: np.sqrt(_rows_sq(q, x)), lambda d: d * abs(d))
 LINF = Distance("linf", "metric", lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, t: F.greatest(s, t)), _tiled(lambda d: d.max(-1)))
 LP3 = lp(3)
 COSINE = Distance("cosine", "semimetric", lambda a, b: F.lit(1.0) - cosine_of(a, b), lambda q, x: 1 - _cos(q, x))
@@ -174,13 +208,36 @@ def lcs_length(a, b) -> int:
 def lcs(a: Column, b: Column) -> Column:
     """m + n - 2 lcs of two arrays, by a dynamic programme in Arrow batches."""
 
-    def run(x, y):
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return x.combine(y, lambda p, q: float(len(p) + len(q) - 2 * lcs_length(p, q)))
 
-    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)(a, b)
+    return run(a, b)
+
+
+def edit_distance(a, b) -> int:
+    """Unit edit distance of two sequences, a row at a time."""
+    b = np.asarray(b)
+    places = np.arange(len(b) + 1)
+    row = places.copy()
+    for x in a:
+        grown = np.minimum(row + 1, np.concatenate([[row[0] + 1], row[:-1] + (b != x)]))
+        # an insertion costs one a step: the least of what stands to the left, and the steps from there
+        row = np.minimum.accumulate(grown - places) + places
+    return int(row[-1])
+
+
+def edit_udf(a: Column, b: Column) -> Column:
+    """Unit edit distance of two long arrays, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return x.combine(y, lambda p, q: float(edit_distance(p, q)))
+
+    return run(a, b)
 
 
-SEQS = {"commonprefix": Distance("commonprefix", "premetric", common_prefix), "hamming": Distance("hamming", "metric", hamming_seq), "levenshtein": Distance("levenshtein", "metric", levenshtein), "lcs": Distance("lcs", "metric", lcs), "edit": Distance("edit", "metric", levenshtein_seq)}
+SEQS = {"commonprefix": Distance("commonprefix", "premetric", common_prefix), "hamming": Distance("hamming", "metric", hamming_seq), "levenshtein": Distance("levenshtein", "metric", levenshtein), "lcs": Distance("lcs", "metric", lcs), "edit": Distance("edit", "metric", edit_udf)}
 
 
 def _bits(a: Column, b: Column, op: Builder) -> Column:

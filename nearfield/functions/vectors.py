@@ -14,8 +14,14 @@ def _clamp(x: Column, top: int) -> Column:
 
 
 def quantise(v: Column, bits: int) -> Column:
-    """struct(min, c, codes) of one vector: codes are round((x - min) / c), half to even, within 0 .. 2^bits - 1."""
-    top = (1 << bits) - 1
+    """struct(min, c, codes) of one vector: codes are round((x - min) / c), half to even, within 0 .. 2^bits - 1.
+
+    Codes of 4 and 2 bits are packed to bytes: a dimension that fills no whole bytes is an error.
+    """
+    top, each = (1 << bits) - 1, 8 // bits
+    if each > 1:
+        wrong = F.raise_error(F.concat(F.lit(f"the dimension must be a multiple of {each}, not "), F.size(v)))
+        v = F.when(F.size(v) % each == 0, v).otherwise(wrong)
     low, high = F.array_min(v).cast("double"), F.array_max(v).cast("double")
     c = (high - low + F.lit(1e-6)) / F.lit(float(top))
     return F.struct(low.alias("min"), c.alias("c"), F.transform(v, lambda x: _clamp(F.bround((x.cast("double") - low) / c).cast("int"), top)).alias("codes"))
@@ -26,10 +32,10 @@ def dequantise(q: Column) -> Column:
 
 
 def pack(codes: Column, bits: int) -> Column:
-    """Codes as bytes, low bits first: 8 / bits codes to a byte. The last byte is filled with zeros."""
+    """Codes as bytes, low bits first: 8 / bits codes to a byte; there must be whole bytes of them."""
     each = 8 // bits
-    parts = F.sequence(F.lit(0), F.ceil(F.size(codes) / each).cast("int") - 1)
-    at = lambda i, j: F.coalesce(F.get(codes, i * each + j), F.lit(0)) * F.lit(1 << (bits * j))
+    parts = F.sequence(F.lit(0), (F.size(codes) / each).cast("int") - 1)
+    at = lambda i, j: F.get(codes, i * each + j) * F.lit(1 << (bits * j))
     return F.transform(parts, lambda i: sum((at(i, j) for j in range(1, each)), at(i, 0)))
 
 
@@ -90,6 +96,19 @@ def sketch(v: Column, dim: int) -> Column:
     return F.array(*[word(at) for at in range(0, dim, 64)])
 
 
+def bitsketch(v: Column, matrix: np.ndarray) -> Column:
+    """The signs of a vector's projections as bits: a sketch whose Hamming distance follows the angle."""
+    return sketch(project(v, matrix), matrix.shape[1])
+
+
+def bitsketches(objects: DataFrame, method: str, out: int, dim: int, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """(id, v) of the objects' sketches by a new rotation (gaussian or qr), and the rotation, for sketching queries alike."""
+    if method not in ("gaussian", "qr"):
+        raise ValueError(f"unknown method {method}")
+    matrix = (matrix_gaussian if method == "gaussian" else matrix_qr)(dim, out, seed)
+    return objects.select("id", bitsketch(F.col("v"), matrix).alias("v")), matrix
+
+
 def spherical(v: Column, longest: Column, pad: int = 0) -> Column:
     """x / M, zeros, sqrt(1 - |x / M|^2) clamped at 0: unit vectors whose L2 order is the inner-product order."""
     scaled = F.transform(v, lambda x: x.cast("double") / longest)

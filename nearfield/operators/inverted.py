@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from .search import ranked
 
+#: A tokenizer: from the column of an object to the array of its tokens.
+Tokens = Callable[[Column], Column]
+
 
 def tokens_of(objects: DataFrame) -> Column:
     """The distinct tokens of s, of any type; null is none, and so is 0 among numbers, which is a sentinel there."""
@@ -17,22 +22,30 @@ def tokens_of(objects: DataFrame) -> Column:
     return F.filter(own, lambda t: t.isNotNull())
 
 
-def postings(objects: DataFrame) -> DataFrame:
+def tokenised(objects: DataFrame, tokens: Tokens | None) -> DataFrame:
+    """objects with s replaced by what a tokenizer makes of it, if there is one (shingles, say)."""
+    return objects if tokens is None else objects.withColumn("s", tokens(F.col("s")))
+
+
+def postings(objects: DataFrame, tokens: Tokens | None = None) -> DataFrame:
     """(token, id), repeated tokens once."""
+    objects = tokenised(objects, tokens)
     return objects.select(F.explode(tokens_of(objects)).alias("token"), "id")
 
 
-def overlap(queries: DataFrame, objects: DataFrame, t: int = 1) -> DataFrame:
-    """(qid, id, i, m, n) of objects that share at least t tokens: shared, query's and object's sizes."""
+def overlap(queries: DataFrame, objects: DataFrame, t: int = 1, tokens: Tokens | None = None) -> DataFrame:
+    """(qid, id, i, m, n) of objects that share at least t tokens: shared, query's and object's sizes. tokens makes
+    an object's tokens, for a distance that needs others than its elements."""
+    queries, objects = tokenised(queries, tokens), tokenised(objects, tokens)
     q = postings(queries.select(F.col("qid").alias("id"), "s")).withColumnRenamed("id", "qid")
     shared = q.join(postings(objects), "token").groupBy("qid", "id").agg(F.count("*").alias("i")).where(F.col("i") >= t)
     sizes = lambda df, key, name: df.select(key, F.size(tokens_of(df)).alias(name))
     return shared.join(sizes(queries, "qid", "m"), "qid").join(sizes(objects, "id", "n"), "id")
 
 
-def search(queries: DataFrame, objects: DataFrame, dist, k: int, t: int = 1) -> DataFrame:
+def search(queries: DataFrame, objects: DataFrame, dist, k: int, t: int = 1, tokens: Tokens | None = None) -> DataFrame:
     """k nearest among objects with t shared tokens, scored from counts alone."""
-    scored = overlap(queries, objects, t).select("qid", "id", dist.counts(F.col("i"), F.col("m"), F.col("n")).alias("dist"))
+    scored = overlap(queries, objects, t, tokens).select("qid", "id", dist.counts(F.col("i"), F.col("m"), F.col("n")).alias("dist"))
     return ranked(scored, k)
 
 
@@ -66,12 +79,14 @@ def sparse_cosine(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 
 def sparse_search(queries: DataFrame, vectors: DataFrame, kind: str, k: int) -> DataFrame:
-    """k nearest among vectors that share a term: normcosine and normangle of unit vectors, angle of any."""
+    """k nearest among vectors that share a term: normcosine and normangle of unit vectors, angle of any. Similarities are
+    rounded to 12 digits, so that equal vectors tie whatever the order of their sums."""
     dots = sparse_dot(queries, vectors)
     similarity = F.col("dot")
     if kind == "angle":
         dots = dots.join(sparse_norms(vectors), "id").join(sparse_norms(queries).select(F.col("id").alias("qid"), F.col("norm").alias("q_norm")), "qid")
         similarity = similarity / (F.col("norm") * F.col("q_norm"))
+    similarity = F.round(similarity, 12)
     d = F.lit(1.0) - similarity if kind == "normcosine" else F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), similarity)))
     return ranked(dots.select("qid", "id", d.alias("dist")), k)
 
@@ -85,5 +100,17 @@ def append(postings_: DataFrame, objects: DataFrame) -> DataFrame:
 def centroids(vectors: DataFrame, by: str) -> DataFrame:
     """(by, term, w, unit): the sum of the vectors of each group, and scaled to unit length."""
     total = vectors.groupBy(by, "term").agg(F.sum("w").alias("w"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(by)))
-    return total.withColumn("unit", F.col("w") / length)
+    length = total.groupBy(by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    same = F.col(f"t.{by}").eqNullSafe(F.col(f"l.{by}"))
+    return total.alias("t").join(length.alias("l"), same).select(f"t.{by}", "term", "w", F.when(F.col("length") > 0, F.col("w") / F.col("length")).alias("unit"))
+
+
+def normalised(vectors: DataFrame) -> DataFrame:
+    """Sparse vectors scaled to unit length; those without a positive norm go."""
+    return vectors.join(sparse_norms(vectors), "id").where("norm > 0").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
+
+
+def sparse_dense_dot(vectors: DataFrame, dense: DataFrame) -> DataFrame:
+    """(qid, id, dot) of every dense vector (qid, v) with every sparse one; a term is a 0-based place in v."""
+    own = dense.select("qid", F.posexplode("v").alias("term", "qw"))
+    return own.join(vectors, "term").groupBy("qid", "id").agg(F.sum(F.col("qw").cast("double") * F.col("w")).alias("dot"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .search import knn, pairs
+from .evaluate import quantiles
+from .search import _blocks, knn, least_distances, pairs, slots_of
+from .select import cut, random_sample
 
 
 def closest_pairs(left: DataFrame, right: DataFrame, dist, k: int = 1, same: bool = False, min_k: int = 8) -> DataFrame:
@@ -20,22 +23,39 @@ def closest_pairs(left: DataFrame, right: DataFrame, dist, k: int = 1, same: boo
     return found.select(F.col("id").alias("a"), F.col("qid").alias("b"), "dist").orderBy("dist", "a", "b").limit(k)
 
 
-def metric_join(left: DataFrame, right: DataFrame, dist, k: int, rank: int = 1, q: float = 0.9, min_group: int = 8) -> DataFrame:
-    """(a, b, rank, dist): for each b its k nearest a's within a's threshold.
+#: Pairs of random objects whose distances stand in where no object has votes enough.
+CROSS_SAMPLE = 64
+
+
+def metric_join(left: DataFrame, right: DataFrame, dist, k: int, rank: int = 1, q: float = 0.9, min_group: int = 8, same: bool = False, seed: int = 0) -> DataFrame:
+    """(a, b, rank, dist): for each b its k nearest a's within a's threshold; with same, an object isn't its own pair.
 
     A b's hits up to `rank` vote their distance to their a; an a's threshold is the q-quantile of its votes if it has
-    min_group, else that of the pooled votes of those that have. With no such group, it is that of all votes.
+    min_group, else that of the pooled votes of those that have. With no such group it is that of a sample of
+    CROSS_SAMPLE random pairs, of different objects with same. In a self join a b's first hit is itself, which has no
+    vote: rank counts it.
     """
     hits = knn(right.withColumnRenamed("id", "qid"), left, dist, k).select(F.col("id").alias("a"), F.col("qid").alias("b"), "rank", "dist")
+    hits = cut(hits.where("a <> b") if same else hits)
     votes = hits.where(F.col("rank") <= rank).select("a", "dist")
-    own = votes.groupBy("a").agg(F.count("*").alias("n"), F.percentile("dist", F.lit(q)).alias("own"))
-    big = own.where(F.col("n") >= max(min_group, 1))
-    pool = votes.join(big.select("a"), "a", "left_semi").agg(F.percentile("dist", F.lit(q)).alias("pool"))
-    every = votes.agg(F.percentile("dist", F.lit(q)).alias("every"))
-    # two one-row tables
-    fallback = pool.crossJoin(every).select(F.coalesce("pool", "every").alias("fallback"))
-    bounds = hits.join(big.select("a", "own"), "a", "left").crossJoin(F.broadcast(fallback))
-    return bounds.where(F.col("dist") <= F.coalesce("own", "fallback")).select("a", "b", "rank", "dist")
+    own = quantiles(votes, "dist", q, "a").where(F.col("n") >= max(min_group, 1)).select("a", F.col("quantile").alias("own"))
+    pooled = quantiles(votes.join(own.select("a"), "a", "left_semi"), "dist", q).first()
+    if pooled is None:
+        pooled = quantiles(cross_sample(left, right, dist, CROSS_SAMPLE, same, seed), "dist", q).first()
+    fallback = F.lit(None if pooled is None else float(pooled["quantile"])).cast("double")
+    return hits.join(own, "a", "left").where(F.col("dist") <= F.coalesce("own", fallback)).select("a", "b", "rank", "dist")
+
+
+def cross_sample(left: DataFrame, right: DataFrame, dist, n: int, same: bool = False, seed: int = 0) -> DataFrame:
+    """(draw, a, b, dist) of n random pairs, of different objects with same (if there are two)."""
+    draws = 2 * n if same else n
+    a = random_sample(left, draws, seed).select("draw", F.col("id").alias("a"))
+    b = random_sample(right, draws, seed + 1).select("draw", F.col("id").alias("b"))
+    chosen = a.join(b, "draw")
+    if same:
+        chosen = chosen.where("a <> b").orderBy("draw").limit(n)
+    both = chosen.join(left.select(F.col("id").alias("a"), F.col("v").alias("v_a")), "a").join(right.select(F.col("id").alias("b"), F.col("v").alias("v_b")), "b")
+    return both.select("draw", "a", "b", dist(F.col("v_a"), F.col("v_b")).alias("dist"))
 
 
 def hsp_fold(v: np.ndarray, dist: np.ndarray, order: list[int], block, near: float | None = None, rng: np.random.Generator | None = None) -> list[int]:
@@ -74,10 +94,39 @@ def cloud_distances(points: DataFrame, dist) -> DataFrame:
     """(cloud_a, cloud_b, directed, hausdorff, chamfer) of every ordered pair of clouds; points are (cloud, id, v).
 
     directed is the greatest distance from a point of a to its nearest point of b; chamfer is the mean of nearest
-    distances, both ways. One pass takes the least distance of each point to each cloud.
+    distances, both ways. One pass takes the least distance of each point to each cloud: of dense vectors by blocks of
+    points of one cloud, of other objects by an expression.
     """
-    both = pairs(points.select(F.struct("cloud", "id").alias("qid"), "v"), points.select(F.struct("cloud", "id").alias("id"), "v"))
-    near = both.select(F.col("qid.cloud").alias("cloud_a"), F.col("qid.id").alias("a"), F.col("id.cloud").alias("cloud_b"), dist(F.col("q"), F.col("v")).alias("dist")).groupBy("cloud_a", "a", "cloud_b").agg(F.min("dist").alias("dist"))
+    if getattr(dist, "block", None):
+        near = _nearest_by_cloud(points, dist)
+    else:
+        both = pairs(points.select(F.struct("cloud", "id").alias("qid"), "v"), points.select(F.struct("cloud", "id").alias("id"), "v"))
+        near = both.select(F.col("qid.cloud").alias("cloud_a"), F.col("qid.id").alias("a"), F.col("id.cloud").alias("cloud_b"), dist(F.col("q"), F.col("v")).alias("dist"))
+    near = near.groupBy("cloud_a", "a", "cloud_b").agg(F.min("dist").alias("dist"))
     way = near.groupBy("cloud_a", "cloud_b").agg(F.max("dist").alias("directed"), F.avg("dist").alias("mean"))
     back = way.select(F.col("cloud_a").alias("cloud_b"), F.col("cloud_b").alias("cloud_a"), F.col("directed").alias("directed_back"), F.col("mean").alias("mean_back"))
     return way.join(back, ["cloud_a", "cloud_b"]).select("cloud_a", "cloud_b", "directed", F.greatest("directed", "directed_back").alias("hausdorff"), (F.col("mean") + F.col("mean_back")).alias("chamfer"))
+
+
+def _nearest_by_cloud(points: DataFrame, dist) -> DataFrame:
+    """(cloud_a, a, cloud_b, dist): each point's least distance to each block of a cloud's points."""
+    slots = slots_of(points)
+    # clouds may have names of any type: they are numbered
+    clouds = cut(points.select("cloud").distinct().select("cloud", F.monotonically_increasing_id().alias("number")))
+    own = _blocks(points.join(clouds, points["cloud"].eqNullSafe(clouds["cloud"])).select("id", "v", "number"), "id", "number")
+    q = own.select(F.col("by").alias("one"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    o = own.select(F.col("by").alias("two"), "data", F.pmod(F.xxhash64("by", "ids"), F.lit(slots)).cast("int").alias("slot"))
+
+    def run(batches):
+        for batch in batches:
+            for one, q_ids, q_data, two, data in zip(*(c.to_pylist() for c in batch.columns)):
+                q_ids = np.frombuffer(q_ids, np.int64)
+                q = np.frombuffer(q_data).reshape(len(q_ids), -1)
+                x = np.frombuffer(data).reshape(-1, q.shape[1])
+                least = least_distances(dist, q, x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), one)), pa.array(q_ids), pa.array(np.full(len(q), two)), pa.array(least)], names=["one", "a", "two", "dist"])
+
+    near = q.join(o, "slot").select("one", "q_ids", "q_data", "two", "data").mapInArrow(run, "one long, a long, two long, dist double")
+    near = near.groupBy("one", "a", "two").agg(F.min("dist").alias("dist"))
+    a, b = clouds.select(F.col("number").alias("one"), F.col("cloud").alias("cloud_a")), clouds.select(F.col("number").alias("two"), F.col("cloud").alias("cloud_b"))
+    return near.join(a, "one").join(b, "two").select("cloud_a", "a", "cloud_b", "dist")

@@ -11,12 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distances import Distance
 
-BLOCK = 2048
+#: Vectors of a block: pairs of blocks are the units of work.
+BLOCK = 512
 
 
 def slots_of(df: DataFrame) -> int:
@@ -43,20 +45,81 @@ def knn_expression(queries: DataFrame, objects: DataFrame, dist, k: int) -> Data
     return ranked(hits, k)
 
 
-def _blocks(df: DataFrame, key: str) -> DataFrame:
-    """(n, ids, data): rows as they come, up to BLOCK to a block, as bytes. Null or ragged vectors are an error."""
+def dense(column: pa.Array) -> np.ndarray:
+    """A list column as a matrix. Null or ragged vectors are an error."""
+    lengths = np.unique(pc.list_value_length(column).to_numpy(zero_copy_only=False)) if not column.null_count else [0, 1]
+    values = column.flatten()
+    if len(lengths) > 1 or values.null_count:
+        raise ValueError("vectors must be non-null and of one length")
+    return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _blocks(df: DataFrame, key: str, by: str | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(by, ids, data, extra): rows as they come, up to BLOCK of one `by` to a block, as bytes; extra are numbers a row."""
+    columns = [F.col(key).cast("long"), "v", F.col(by).cast("long") if by else F.lit(0).cast("long"), *[F.col(c).cast("double") for c in extra]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                rows = part.column(1).to_pylist()
-                if any(r is None or None in r or len(r) != len(rows[0]) for r in rows):
-                    raise ValueError("vectors must be non-null and of one length")
-                data = np.array(rows, np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int32()), pa.array([part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], names=["n", "ids", "data"])
+            ids, data = batch.column(0).to_numpy(zero_copy_only=False), dense(batch.column(1))
+            group, *more = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, batch.num_columns))
+            more = np.stack(more, 1) if more else np.zeros((len(ids), 0))
+            out: list[list] = [[], [], [], []]
+            for one in np.unique(group):
+                every = np.flatnonzero(group == one)
+                for at in (every[i : i + BLOCK] for i in range(0, len(every), BLOCK)):
+                    for to, value in zip(out, (one, ids[at].tobytes(), data[at].tobytes(), more[at].tobytes())):
+                        to.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["by", "ids", "data", "extra"])
+
+    return df.select(*columns).mapInArrow(run, "by long, ids binary, data binary, extra binary")
+
+
+def nearest_of(dist: Distance, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int | None, radius: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, distance) of each row's k nearest, ties to the smaller id, or of all within the radius."""
+    rough, slack = dist.rough(q, x) if dist.rough else (dist.block(q, x), 0.0)
+    if radius is not None:
+        least = np.full(len(q), dist.level(radius) if dist.rough else radius)
+    elif len(x) <= k:
+        least = np.full(len(q), np.inf)
+    else:
+        least = np.partition(rough, k - 1, axis=1)[:, k - 1]
+    # all that may be among the k nearest, both errors allowed for
+    i, j = np.nonzero(~(rough > (least + 2 * slack)[:, None]))
+    d = dist.rows(q[i], x[j]) if dist.rough else rough[i, j]
+    if radius is not None:
+        good = d <= radius
+        return i[good], j[good], d[good]
+    order = np.lexsort((ids[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    first = np.searchsorted(i, np.arange(len(q)))
+    good = np.arange(len(i)) - first[i] < k
+    return i[good], j[good], d[good]
+
+
+def least_distances(dist: Distance, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Each row's distance to the nearest of x."""
+    i, _, d = nearest_of(dist, q, x, np.arange(len(x)), 1)
+    return d[np.argsort(i, kind="stable")]
+
+
+def _met(pairs_: DataFrame, dist: Distance, k: int | None, radius: float | None, pruned: bool = False) -> DataFrame:
+    """(qid, id, dist) of pairs of blocks: q_ids, q_data, ids, data. If pruned, also q_extra (each query's distance to a
+    center, and its bound) and extra (each object's distance to it): objects that the triangle inequality puts beyond
+    every query's bound are left out."""
 
-    return df.select(F.col(key).cast("long"), "v").mapInArrow(run, "n int, ids binary, data binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q_data, ids, data, *more in zip(*(c.to_pylist() for c in batch.columns)):
+                q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
+                x = np.frombuffer(data).reshape(len(ids), -1)
+                if pruned:
+                    (d_query, bound), d_center = np.frombuffer(more[0]).reshape(-1, 2).T, np.frombuffer(more[1])
+                    live = ~(np.abs(d_query[:, None] - d_center[None]) > bound[:, None] + 1e-9).all(0)
+                    ids, x = ids[live], x[live]
+                i, j, d = nearest_of(dist, np.frombuffer(q_data).reshape(len(q_ids), -1), x, ids, k, radius)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[j]), pa.array(d)], names=["qid", "id", "dist"])
+
+    return pairs_.select("q_ids", "q_data", "ids", "data", *(["q_extra", "extra"] if pruned else [])).mapInArrow(run, "qid long, id long, dist double")
 
 
 def knn_kernel(queries: DataFrame, objects: DataFrame, dist: Distance, k: int | None = None, radius: float | None = None) -> DataFrame:
@@ -64,20 +127,7 @@ def knn_kernel(queries: DataFrame, objects: DataFrame, dist: Distance, k: int |
     slots = slots_of(objects)
     q = _blocks(queries, "qid").select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
     o = _blocks(objects, "id").withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q_ids, q_data, ids, data in zip(*(c.to_pylist() for c in batch.columns)):
-                q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                d = dist.block(np.frombuffer(q_data).reshape(len(q_ids), -1), np.frombuffer(data).reshape(len(ids), -1))
-                if radius is not None:
-                    i, j = np.nonzero(d <= radius)
-                else:
-                    order = np.stack([np.lexsort((ids, row))[:k] for row in d])
-                    i, j = np.repeat(np.arange(len(q_ids)), order.shape[1]), order.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[j]), pa.array(d[i, j])], names=["qid", "id", "dist"])
-
-    hits = q.join(o, "slot").select("q_ids", "q_data", "ids", "data").mapInArrow(run, "qid long, id long, dist double")
+    hits = _met(q.join(o, "slot"), dist, k, radius)
     return hits if radius is not None else ranked(hits, k)
 
 
@@ -88,6 +138,16 @@ def knn(queries: DataFrame, objects: DataFrame, dist, k: int) -> DataFrame:
     return knn_kernel(queries, objects, dist, k) if getattr(dist, "block", None) else knn_expression(queries, objects, dist, k)
 
 
+def search_batch(queries: DataFrame, objects: DataFrame, dist, k: int, expected: int | None = None) -> DataFrame:
+    """knn() that refuses an empty set of queries, and one of another size than expected."""
+    n = queries.count() if expected is not None else queries.limit(1).count()
+    if not n:
+        raise ValueError("empty set of queries")
+    if expected is not None and n != expected:
+        raise ValueError(f"{n} queries where {expected} were expected")
+    return knn(queries, objects, dist, k)
+
+
 def within(queries: DataFrame, objects: DataFrame, dist, radius: float) -> DataFrame:
     """(qid, id, dist) of all objects with dist <= radius."""
     if getattr(dist, "block", None):
@@ -126,22 +186,54 @@ def assign(objects: DataFrame, centers: DataFrame, dist) -> DataFrame:
     return knn(objects.withColumnRenamed("id", "qid"), centers, dist, 1).select(F.col("qid").alias("id"), F.col("id").alias("center"), "dist")
 
 
-def pivot_search(queries: DataFrame, objects: DataFrame, centers: DataFrame, dist, k: int, probes: int | None = None) -> DataFrame:
+def baskets_of(objects: DataFrame, centers: DataFrame, dist) -> DataFrame:
+    """(center, id, v, d_center): objects by their nearest center. A pivot index; it may be stored and searched again."""
+    return assign(objects, centers, dist).withColumnRenamed("dist", "d_center").join(objects.select("id", "v"), "id")
+
+
+def pivot_search(queries: DataFrame, objects: DataFrame, centers: DataFrame, dist, k: int, probes: int | None = None, baskets: DataFrame | None = None) -> DataFrame:
     """k nearest over baskets of objects by nearest center. With probes, each query visits its nearest baskets only
-    (approximate); without, baskets and items are pruned by the triangle inequality and the answer is exact."""
+    (approximate). Without, the answer is exact: the nearest baskets that hold k objects give each query a bound, by
+    which the triangle inequality prunes baskets, and then objects, of the rest."""
     if probes is None and dist.kind != "metric":
         raise ValueError("exact pruning needs a metric")
-    baskets = assign(objects, centers, dist).withColumnRenamed("dist", "d_center").join(objects, "id")
-    to_centers = knn(queries, centers, dist, max(1, probes or 1) if probes else 2**31 - 1).select("qid", F.col("id").alias("center"), "rank", F.col("dist").alias("d_query"))
+    own = baskets_of(objects, centers, dist) if baskets is None else baskets
+    to_centers = knn(queries, centers, dist, probes or 2**31 - 1).select("qid", F.col("id").alias("center"), "rank", F.col("dist").alias("d_query"))
+
     if probes is not None:
-        probe = to_centers.join(queries, "qid").withColumnRenamed("v", "q").join(baskets, "center")
-        return ranked(probe.select("qid", "id", dist(F.col("q"), F.col("v")).alias("dist")), k)
-    # an upper bound of each query's k-th distance: d(q, c) + d(c, o) holds for every object
-    cover = baskets.groupBy("center").agg(F.max("d_center").alias("cover"))
-    order = Window.partitionBy("qid").orderBy("bound", "id")
-    upper = to_centers.join(baskets.select("center", "id", "d_center"), "center").select("qid", "id", (F.col("d_query") + F.col("d_center")).alias("bound"))
-    upper = upper.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select("qid", F.col("bound").alias("r"))
-    live = to_centers.join(cover, "center").join(upper, "qid", "left").where(F.col("r").isNull() | (F.col("d_query") <= F.col("r") + F.col("cover") + 1e-9))
-    items = live.join(baskets, "center").where(F.col("r").isNull() | (F.abs(F.col("d_query") - F.col("d_center")) <= F.col("r") + 1e-9))
-    scored = items.join(queries.select("qid", F.col("v").alias("q")), "qid").select("qid", "id", dist(F.col("q"), F.col("v")).alias("dist"))
-    return ranked(scored, k)
+        return ranked(_in_baskets(to_centers, queries, own, dist, k), k)
+    cover = own.groupBy("center").agg(F.max("d_center").alias("cover"), F.count("*").alias("size"))
+    near = to_centers.join(cover, "center")
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = near.withColumn("first", before < k)
+    start = _in_baskets(near.where("first"), queries, own, dist, k)
+    bound = ranked(start, k).groupBy("qid").agg(F.max("dist").alias("r"), F.count("*").alias("n")).select("qid", F.when(F.col("n") >= k, F.col("r")).alias("r"))
+    rest = near.where("not first").join(bound, "qid", "left").where(F.col("r").isNull() | (F.col("d_query") <= F.col("r") + F.col("cover") + 1e-9))
+    rest = rest.withColumn("r", F.coalesce("r", F.lit(float("inf"))))
+    return ranked(start.unionByName(_in_baskets(rest, queries, own, dist, k, pruned=True)), k)
+
+
+def _in_baskets(asked: DataFrame, queries: DataFrame, baskets: DataFrame, dist, k: int | None, radius: float | None = None, pruned: bool = False) -> DataFrame:
+    """(qid, id, dist) of queries with the objects of their baskets: asked has qid, center and, if objects are pruned,
+    d_query and the bound r."""
+    asked = asked.select("qid", "center", *(["d_query", "r"] if pruned else [])).join(queries.select("qid", "v"), "qid")
+    if getattr(dist, "block", None):
+        q = _blocks(asked, "qid", "center", ("d_query", "r") if pruned else ()).select("by", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("extra").alias("q_extra"))
+        return _met(q.join(_blocks(baskets, "id", "center", ("d_center",)), "by"), dist, k, radius, pruned)
+    both = asked.withColumnRenamed("v", "q").join(baskets, "center")
+    if pruned:
+        both = both.where(F.abs(F.col("d_query") - F.col("d_center")) <= F.col("r") + 1e-9)
+    hits = both.select("qid", "id", dist(F.col("q"), F.col("v")).alias("dist"))
+    return hits if radius is None else hits.where(F.col("dist") <= radius)
+
+
+def pivot_within(queries: DataFrame, objects: DataFrame, centers: DataFrame, dist, radius: float, baskets: DataFrame | None = None) -> DataFrame:
+    """(qid, id, dist) of all objects with dist <= radius: baskets, and objects in them, that the triangle inequality puts
+    farther away aren't looked at."""
+    if dist.kind != "metric":
+        raise ValueError("exact pruning needs a metric")
+    own = baskets_of(objects, centers, dist) if baskets is None else baskets
+    cover = own.groupBy("center").agg(F.max("d_center").alias("cover"))
+    to_centers = knn(queries, centers, dist, 2**31 - 1).select("qid", F.col("id").alias("center"), F.col("dist").alias("d_query"))
+    live = to_centers.join(cover, "center").where(F.col("d_query") <= F.lit(radius) + F.col("cover") + 1e-9).withColumn("r", F.lit(float(radius)))
+    return _in_baskets(live, queries, own, dist, None, radius, pruned=True)

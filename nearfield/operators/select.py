@@ -9,14 +9,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import assign, pairs, within
+from .search import assign, pairs, pivot_within, within
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from the session's shared checkpoint folder; a local one is made only where none is set."""
+    """df from the session's shared checkpoint folder. Where none is set, a local session makes a folder of its own and
+    any other is an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -27,7 +31,8 @@ def hash_order(seed: int, *names: str) -> Column:
 
 def farthest_first(objects: DataFrame, dist, k: int, start: int, every: int = 10) -> tuple[DataFrame, dict]:
     """(id, center, dist) after k farthest-first centers from `start`, and a report: centers in order, covradius (the
-    greatest distance to a center) and separation (the least distance between centers). k stops at the objects' number.
+    greatest distance to a center), separation (the least distance between centers) and costdists (distances computed).
+    k stops at the objects' number.
 
     An earlier center keeps ties; of equally far objects the smaller id is next.
     """
@@ -45,7 +50,7 @@ def farthest_first(objects: DataFrame, dist, k: int, start: int, every: int = 10
             state = cut(state)
         far = state.orderBy(F.desc("dist"), "id").limit(1).first()
         if len(centers) == k or far["dist"] == 0 or far["id"] in centers:
-            return state.select("id", "center", "dist"), {"centers": centers, "covradius": far["dist"], "separation": min(gaps, default=float("inf"))}
+            return state.select("id", "center", "dist"), {"centers": centers, "covradius": far["dist"], "separation": min(gaps, default=float("inf")), "costdists": len(centers) * vectors.count()}
         gaps.append(far["dist"])
         pivot = far
 
@@ -95,18 +100,24 @@ def multi_random(objects: DataFrame, dist, k: int, seed: int = 0) -> tuple[DataF
     return assign(objects, centers, dist), {"centers": [c["id"] for c in chosen], "separation": gap}
 
 
-def near_duplicates(objects: DataFrame, dist, epsilon: float, block: int | None = None, filter_blocks: bool = True) -> DataFrame:
+def near_duplicates(objects: DataFrame, dist, epsilon: float, block: int | None = None, filter_blocks: bool = True, centers: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
     """(id, nn, dist, kept): the greedy net in id order. An object is kept if no kept one of smaller id is within
     epsilon; others name their nearest kept object of smaller id.
 
     With `block`, ids are dealt in blocks of that many, and an object names one of an earlier block if any is within
     epsilon; without filter_blocks, objects of one block aren't compared with each other.
 
+    Pairs within epsilon are found by comparing all, or, given centers of a metric, by baskets that the triangle
+    inequality leaves; or they are given as links (qid, id, dist), from an approximate index, say.
+
     The greedy pass is restated as rounds over the links: an undecided object with a kept smaller neighbour goes; one
     whose smaller neighbours are all gone stays.
     """
     ids = objects.select("id")
-    links = within(objects.withColumnRenamed("id", "qid"), objects, dist, epsilon).where("id < qid")
+    if links is None:
+        asked = objects.select(F.col("id").alias("qid"), "v")
+        links = within(asked, objects, dist, epsilon) if centers is None else pivot_within(asked, objects, centers, dist, epsilon)
+    links = links.where((F.col("id") < F.col("qid")) & (F.col("dist") <= epsilon))
     same = F.lit(False) if block is None else F.floor(F.col("qid") / block) == F.floor(F.col("id") / block)
     links = links.select(F.col("qid").alias("b"), F.col("id").alias("a"), "dist", same.alias("same"))
     links = cut(links if filter_blocks else links.where("not same"))
@@ -124,12 +135,42 @@ def near_duplicates(objects: DataFrame, dist, epsilon: float, block: int | None
     return found.select("id", F.when(F.col("kept"), F.col("id")).otherwise(F.col("near")).alias("nn"), F.when(F.col("kept"), F.lit(0.0)).otherwise(F.col("dist")).alias("dist"), "kept")
 
 
+def places(objects: DataFrame, seed: int) -> DataFrame:
+    """(place, id, total): objects numbered from 0 in hash order; places are counted by hash prefix first and then inside
+    a prefix, so that no task ranks all objects."""
+    keyed = objects.select("id", hash_order(seed).alias("h")).withColumn("prefix", F.substring("h", 1, 3))
+    counted = keyed.groupBy("prefix").agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = counted.select("prefix", before.alias("before"), F.sum("rows").over(Window.partitionBy()).alias("total"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("prefix").orderBy("h", "id")) - 1
+    return keyed.join(counted, "prefix").select(place.alias("place"), "id", "total")
+
+
+def drawn(seed: int) -> Column:
+    """A number below 16^15 for each draw."""
+    return F.conv(F.substring(hash_order(seed, "draw"), 1, 15), 16, 10).cast("long")
+
+
 def distance_sample(objects: DataFrame, dist, share: float, seed: int = 0) -> DataFrame:
-    """(a, b, dist) of a share of all pairs a < b, chosen by hash. Pairs are blocks of slots, as in a search."""
-    both = pairs(objects.withColumnRenamed("id", "qid"), objects).where("qid < id")
-    if share < 1:
-        both = both.where(hash_order(seed, "qid", "id") < F.lit(f"{int(share * 16**8):08x}"))
-    return both.select(F.col("qid").alias("a"), F.col("id").alias("b"), dist(F.col("q"), F.col("v")).alias("dist"))
+    """(a, b, dist) of random pairs of different objects: as many draws as `share` of all pairs, or all pairs a < b with
+    a share of 1. A draw is a number of a pair, so that no more pairs than wanted are made."""
+    if share >= 1:
+        both = pairs(objects.withColumnRenamed("id", "qid"), objects).where("qid < id")
+        return both.select(F.col("qid").alias("a"), F.col("id").alias("b"), dist(F.col("q"), F.col("v")).alias("dist"))
+    n = objects.count()
+    every = n * (n - 1) // 2
+    draws = objects.sparkSession.range(int(np.ceil(every * share))).withColumnRenamed("id", "draw")
+    # pair number r: the r-th of (0, 1), (0, 2), (1, 2), (0, 3), ...
+    draws = draws.withColumn("r", F.pmod(drawn(seed), F.lit(max(every, 1))))
+    guess = F.floor((F.lit(1.0) + F.sqrt(F.lit(1.0) + F.lit(8.0) * F.col("r"))) / 2).cast("long")
+    start = lambda b: F.floor(b * (b - 1) / 2).cast("long")
+    draws = draws.withColumn("g", guess)
+    high = F.when(start(F.col("g")) > F.col("r"), F.col("g") - 1).when(start(F.col("g") + 1) <= F.col("r"), F.col("g") + 1).otherwise(F.col("g"))
+    draws = draws.withColumn("high", high).withColumn("low", F.col("r") - start(F.col("high")))
+    own = cut(places(objects, seed).select("place", "id")).join(objects.select("id", "v"), "id")
+    both = draws.join(own.select(F.col("place").alias("low"), F.col("id").alias("a"), F.col("v").alias("v_a")), "low")
+    both = both.join(own.select(F.col("place").alias("high"), F.col("id").alias("b"), F.col("v").alias("v_b")), "high")
+    return both.select("a", "b", dist(F.col("v_a"), F.col("v_b")).alias("dist"))
 
 
 def distance_pairs(objects: DataFrame, dist, n: int, seed: int = 0) -> DataFrame:
@@ -143,14 +184,19 @@ def distance_pairs(objects: DataFrame, dist, n: int, seed: int = 0) -> DataFrame
 
 
 def random_sample(objects: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(draw, id): n draws with replacement. A draw is a place in the objects' hash order; places are counted by hash
-    prefix first and then inside a prefix, so that no task ranks all objects."""
-    keyed = objects.select("id", hash_order(seed).alias("h")).withColumn("prefix", F.substring("h", 1, 3))
-    counted = keyed.groupBy("prefix").agg(F.count("*").alias("rows"))
-    before = F.coalesce(F.sum("rows").over(Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counted = counted.select("prefix", before.alias("before"), F.sum("rows").over(Window.partitionBy()).alias("total"))
-    placed = keyed.join(counted, "prefix").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("prefix").orderBy("h", "id")) - 1)
-    total = counted.select("total").limit(1)
-    digits = F.conv(F.substring(hash_order(seed, "draw"), 1, 15), 16, 10).cast("long")
-    draws = objects.sparkSession.range(n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total)).select("draw", F.pmod(digits, F.col("total")).alias("place"))
+    """(draw, id): n draws with replacement. A draw is a place in the objects' hash order."""
+    placed = places(objects, seed)
+    total = placed.select("total").limit(1)
+    draws = objects.sparkSession.range(n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total)).select("draw", F.pmod(drawn(seed), F.col("total")).alias("place"))
     return draws.join(placed.select("place", "id"), "place").select("draw", "id")
+
+
+def subset(objects: DataFrame, ids: list[int]) -> DataFrame:
+    """(pos, id, v): a view of the objects by a list of ids, in its order; an id may occur again."""
+    wanted = objects.sparkSession.createDataFrame(list(enumerate(ids)), "pos int, id long")
+    return objects.select("id", "v").join(F.broadcast(wanted), "id").select("pos", "id", "v")
+
+
+def masked(objects: DataFrame, mask: Column) -> DataFrame:
+    """The objects where the mask holds, under their own ids."""
+    return objects.where(mask)

@@ -122,8 +122,7 @@ def macro_recall(s, d):
 
 @query("SELECT p.pos, e.vec_id AS id FROM (SELECT unnest([7, 3, 7, 11]) AS id, unnest([0, 1, 2, 3]) AS pos) p JOIN embeddings e ON e.vec_id = p.id")
 def subset_by_ids(s, d):
-    wanted = s.createDataFrame([(0, 7), (1, 3), (2, 7), (3, 11)], "pos int, id long")
-    return vectors(s, d).select("id").join(F.broadcast(wanted), "id").select("pos", "id")
+    return select.subset(vectors(s, d), [7, 3, 7, 11]).select("pos", "id")
 
 
 @query(f"WITH {EMB}, {knn_sql(TERM['l2'])} SELECT qid, min_by(id, d) AS nearest, min(d)::DECIMAL(12,6)::DOUBLE AS least, max_by(id, d) AS frontier, max(d)::DECIMAL(12,6)::DOUBLE AS covradius FROM r WHERE rank <= {K} GROUP BY qid")
@@ -205,12 +204,39 @@ def closestpairs_k(s, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY d, a)::INT AS rank FROM p),
 h AS (SELECT * FROM r WHERE rank <= 8), v AS (SELECT a, d FROM h WHERE rank <= 2),
 o AS (SELECT a, quantile_cont(d, 0.9) AS own FROM v GROUP BY a HAVING count(*) >= 3),
-f AS (SELECT coalesce((SELECT quantile_cont(d, 0.9) FROM v WHERE a IN (SELECT a FROM o)), (SELECT quantile_cont(d, 0.9) FROM v)) AS f)
+f AS (SELECT quantile_cont(d, 0.9) AS f FROM v WHERE a IN (SELECT a FROM o))
 SELECT h.a, h.b, h.rank, round(h.d, 6) + 0.0::DOUBLE AS dist FROM h LEFT JOIN o ON h.a = o.a CROSS JOIN f WHERE h.d <= coalesce(o.own, f.f)""")
 def metricjoin_q90(s, d):
     return shown(joins.metric_join(*sides(s, d), D.L2, 8, rank=2, min_group=3), "a", "b", "rank")
 
 
+@query(f"""WITH {EMB}, p AS (SELECT a.id AS a, b.id AS b, {TERM['l2']} AS d FROM e a, e b),
+r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY d, a)::INT AS rank FROM p),
+h AS (SELECT * FROM r WHERE rank <= 6 AND a <> b), v AS (SELECT a, d FROM h WHERE rank <= 3),
+o AS (SELECT a, quantile_cont(d, 0.8) AS own FROM v GROUP BY a HAVING count(*) >= 4),
+f AS (SELECT quantile_cont(d, 0.8) AS f FROM v WHERE a IN (SELECT a FROM o))
+SELECT h.a, h.b, h.rank, round(h.d, 6) + 0.0::DOUBLE AS dist FROM h LEFT JOIN o ON h.a = o.a CROSS JOIN f WHERE h.d <= coalesce(o.own, f.f)""")
+def metricjoin_self(s, d):
+    e = vectors(s, d)
+    return shown(joins.metric_join(e, e, D.L2, 6, rank=3, q=0.8, min_group=4, same=True), "a", "b", "rank")
+
+
+RANDOM = "('0x' || substr(md5({n}::VARCHAR || ':{seed}'), 1, 15))::BIGINT"
+
+
+def _cross_sql(n: int, seed: int) -> str:
+    place = "SELECT {side}.id, row_number() OVER (ORDER BY md5(id::VARCHAR || ':{own}'), id) - 1 AS place, count(*) OVER () AS total FROM {side}"
+    return f"""WITH {EMB}, {SIDES}, x AS ({place.format(side='l', own=seed)}), y AS ({place.format(side='g', own=seed + 1)}), n AS (SELECT unnest(range({n})) AS draw)
+    SELECT draw, a.id AS a, b.id AS b, round({TERM['l2']}, 6) + 0.0::DOUBLE AS dist FROM n
+    JOIN x ON x.place = {RANDOM.format(n='draw', seed=seed)} % x.total JOIN y ON y.place = {RANDOM.format(n='draw', seed=seed + 1)} % y.total
+    JOIN l a ON a.id = x.id JOIN g b ON b.id = y.id"""
+
+
+@query(_cross_sql(64, 4))
+def metricjoin_cross_sample(s, d):
+    return shown(joins.cross_sample(*sides(s, d), D.L2, 64, seed=4), "draw", "a", "b")
+
+
 def _hsp_sql(order: str) -> str:
     return f"""WITH RECURSIVE {EMB}, {knn_sql(TERM['l2'], 32)},
     c AS (SELECT qid, id, rank, d, row_number() OVER (PARTITION BY qid ORDER BY rank {order}) AS pos FROM r WHERE rank <= 32 AND qid <> id),
@@ -328,7 +354,12 @@ def described(distances: DataFrame) -> DataFrame:
 DESCRIBED = "count(*) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS std, round(min(d), 6) AS min, round(median(d), 6) AS median, round(max(d), 6) AS max"
 
 
-@query(f"WITH {EMB}, h AS (SELECT {TERM['l2']} AS d FROM e a JOIN e b ON a.id < b.id AND md5(a.id::VARCHAR || ':' || b.id::VARCHAR || ':0') < '19999999') SELECT {DESCRIBED} FROM h")
+@query(f"""WITH {EMB}, n AS (SELECT count(*) AS n, count(*) * (count(*) - 1) // 2 AS pairs FROM e),
+x AS (SELECT *, row_number() OVER (ORDER BY md5(id::VARCHAR || ':0'), id) - 1 AS place FROM e),
+r AS (SELECT {RANDOM.format(n='draw', seed=0)} % pairs AS r FROM (SELECT unnest(range(ceil(pairs * 0.1::DOUBLE)::BIGINT)) AS draw, pairs FROM n)),
+g AS (SELECT r, floor((1 + sqrt(1 + 8.0::DOUBLE * r)) / 2)::BIGINT AS g FROM r),
+p AS (SELECT r, CASE WHEN g * (g - 1) // 2 > r THEN g - 1 WHEN (g + 1) * g // 2 <= r THEN g + 1 ELSE g END AS high FROM g),
+h AS (SELECT {TERM['l2']} AS d FROM p JOIN x a ON a.place = r - high * (high - 1) // 2 JOIN x b ON b.place = high) SELECT {DESCRIBED} FROM h""")
 def distance_sample(s, d):
     return described(select.distance_sample(vectors(s, d), D.L2, 0.1))
 
@@ -434,6 +465,12 @@ def bitsketch_hadamard_hamming(s, d):
     return search.knn_expression(asked(w), w, D.BITS["bits_hamming"], K)
 
 
+@query(f"WITH {EMB}, w AS (SELECT id, [" + ", ".join(f"(list_inner_product(v, {[float(x) for x in c]}::DOUBLE[]) >= 0)::INT" for c in V.matrix_qr(64, 32, seed=2).T) + f"] AS v FROM e), h AS (SELECT a.id AS qid, b.id, list_sum(list_transform({ZIP}, lambda x: abs(x[1] - x[2])))::DOUBLE AS d FROM w a JOIN w b ON a.id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank FROM h) SELECT qid, id, rank, d AS dist FROM r WHERE rank <= {K}")
+def bitsketch_qr_hamming(s, d):
+    w, _ = V.bitsketches(vectors(s, d), "qr", 32, 64, seed=2)
+    return search.knn_expression(asked(w), w, D.BITS["bits_hamming"], K)
+
+
 def _projected_sql(matrix) -> str:
     columns = ", ".join(f"list_inner_product(v, {[float(x) for x in column]}::DOUBLE[])" for column in matrix.T)
     return f"WITH {EMB}, p AS (SELECT id, [{columns}] AS v FROM e), " + knn_sql(TERM["l2"]).replace("FROM e a JOIN e b", "FROM p a JOIN p b") + f" SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}"
@@ -520,66 +557,97 @@ def levenshtein_names(s, d):
     return search.pairs(q, o).select("q", "v", D.levenshtein(F.col("q"), F.col("v")).alias("dist"))
 
 
-SEQ_CTE = "u AS (SELECT user_id AS id, list(substr(event_type, 1, 2) ORDER BY ts, event_id)[1:8] AS v FROM events GROUP BY 1 HAVING count(*) >= 8)"
+SEQ_CTE = "u AS (SELECT user_id AS id, list(substr(event_type, 1, 1) ORDER BY ts, event_id) AS v FROM events GROUP BY 1)"
 
 
 def sequences(s, d):
-    rows = table(s, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.substring("event_type", 1, 2).alias("e")))).alias("a"))
-    # the object is a user's first eight events
-    return rows.where(F.size("a") >= 8).select("id", F.slice(F.col("a.e"), 1, 8).alias("v"))
+    """Each user's events in order, by their types' first letters, which differ."""
+    rows = table(s, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.substring("event_type", 1, 1).alias("e")))).alias("a"))
+    return rows.select("id", F.col("a.e").alias("v"))
+
+
+def _seq_sql(term: str, where: str = "true") -> str:
+    return f"WITH {SEQ_CTE}, h AS (SELECT a.id AS qid, b.id, {term} AS d FROM u a JOIN u b ON a.id % 50 = 0 AND {where}), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank FROM h) SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}"
 
 
-def _seq_sql(term: str) -> str:
-    return f"WITH {SEQ_CTE}, h AS (SELECT a.id AS qid, b.id, {term} AS d FROM u a JOIN u b ON a.id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank FROM h) SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}"
+@query(_seq_sql("levenshtein(array_to_string(a.v, ''), array_to_string(b.v, ''))::DOUBLE"))
+def seq_edit(s, d):
+    own = sequences(s, d).select("id", F.array_join("v", "").alias("v"))
+    return shown(search.knn_expression(asked(own), own, D.SEQS["levenshtein"], K))
 
 
-LETTERS = "list_reduce(list_transform({v}, lambda x: x[1]), lambda x, y: x || y)"
-SUBSEQUENCES = "list_distinct(list_transform(range(256), lambda k: array_to_string(list_filter(list_transform(range(8), lambda i: CASE WHEN (k >> i) % 2 = 1 THEN v[i + 1] END), lambda y: y IS NOT NULL), '')))"
-for _name, _term in (("edit", f"levenshtein({LETTERS.format(v='a.v')}, {LETTERS.format(v='b.v')})::DOUBLE"), ("hamming", f"list_sum(list_transform({ZIP}, lambda x: (x[1] <> x[2])::INT))::DOUBLE"), ("commonprefix", "1 - coalesce(list_min(list_filter(range(8), lambda i: a.v[i + 1] <> b.v[i + 1])), 8) / 8.0::DOUBLE"), ("lcs", "16.0::DOUBLE - list_max(list_transform(list_intersect(a.s, b.s), lambda x: length(x)))")):
+SHORTER = "least(len(a.v), len(b.v))"
+for _name, _term, _where in (("hamming", f"list_sum(list_transform({ZIP}, lambda x: (x[1] <> x[2])::INT))::DOUBLE", "len(a.v) = len(b.v)"), ("commonprefix", f"1 - coalesce(list_min(list_filter(range({SHORTER}), lambda i: a.v[i + 1] <> b.v[i + 1])), {SHORTER}) / {SHORTER}::DOUBLE", "true")):
     Q[f"seq_{_name}"] = lambda s, d, n=_name: shown(search.knn_expression(asked(sequences(s, d)), sequences(s, d), D.SEQS[n], K))
-    # of the longest common subsequence: all subsequences of eight two-letter symbols as strings
-    SQL[f"seq_{_name}"] = _seq_sql(_term) if _name != "lcs" else _seq_sql(_term).replace("h AS (", f"w AS (SELECT id, {SUBSEQUENCES} AS s FROM u), h AS (").replace("FROM u a JOIN u b", "FROM w a JOIN w b")
+    SQL[f"seq_{_name}"] = _seq_sql(_term, _where)
+
+
+@query()  # a longest common subsequence of whole sequences is beyond SQL; tests compare with brute force
+def seq_lcs(s, d):
+    return shown(search.knn_expression(asked(sequences(s, d)), sequences(s, d), D.SEQS["lcs"], K))
 
 
 # Sparse text: term counts of documents.
 def terms(s, d):
-    words = table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "lang", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where("term <> ''")
+    words = table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "lang", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("term")).where("term <> ''")
     return words.groupBy("id", "lang", "term").agg(F.count("*").cast("double").alias("w"))
 
 
-@query("""WITH t AS (SELECT lang, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents WHERE text IS NOT NULL),
+WORDS = r"regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')"
+
+
+@query(f"""WITH t AS (SELECT lang, unnest({WORDS}) AS term FROM documents WHERE text IS NOT NULL),
 c AS (SELECT lang, term, count(*)::DOUBLE AS w FROM t WHERE term <> '' GROUP BY 1, 2)
 SELECT lang, term, w, round(w / sqrt(sum(w * w) OVER (PARTITION BY lang)), 6) + 0.0::DOUBLE AS unit FROM c""")
 def centroid_by_lang(s, d):
-    return inverted.centroids(terms(s, d), "lang").select("lang", "term", "w", (F.round("unit", 6) + F.lit(0.0)).alias("unit"))
+    words = table(s, d, "documents").where("text is not null").select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("term")).where("term <> ''")
+    return inverted.centroids(words.withColumn("w", F.lit(1.0)), "lang").select("lang", "term", "w", (F.round("unit", 6) + F.lit(0.0)).alias("unit"))
 
 
-# The embedding's large components as a sparse vector.
-SPARSE = "x AS (SELECT vec_id AS id, unnest(range(64)) AS term, unnest(embedding::DOUBLE[]) AS w FROM embeddings), sp AS (SELECT * FROM x WHERE abs(w) >= 0.2)"
+# A document's terms and their counts are its sparse vector.
+SPARSE = f"x AS (SELECT doc_id AS id, unnest({WORDS}) AS term FROM documents WHERE text IS NOT NULL), sp AS (SELECT id, term, count(*)::DOUBLE AS w FROM x WHERE term <> '' GROUP BY 1, 2), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM sp GROUP BY 1)"
 
 
 def sparse(s, d):
-    return vectors(s, d).select("id", F.posexplode("v").alias("term", "x")).select("id", F.col("term").cast("long").alias("term"), F.col("x").cast("double").alias("w")).where(F.abs("w") >= 0.2)
+    return terms(s, d).select("id", "term", "w")
 
 
-@query(f"""WITH {SPARSE}, n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM sp GROUP BY 1), p AS (SELECT a.id AS qid, b.id, sum(a.w * b.w) AS dot FROM sp a JOIN sp b USING (term) WHERE a.id % 50 = 0 GROUP BY 1, 2),
-h AS (SELECT qid, p.id, round(1 - dot / (n.norm * m.norm), 9) AS d FROM p JOIN n ON n.id = p.id JOIN n m ON m.id = p.qid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank FROM h)
+@query(f"""WITH {SPARSE}, p AS (SELECT a.id AS qid, b.id, sum(a.w * b.w) AS dot FROM sp a JOIN sp b USING (term) WHERE a.id % 50 = 0 GROUP BY 1, 2),
+h AS (SELECT qid, p.id, 1 - dot / (n.norm * m.norm) AS d FROM p JOIN n ON n.id = p.id JOIN n m ON m.id = p.qid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank FROM h)
 SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}""")
 def sparse_cosine_knn(s, d):
     v = sparse(s, d)
     return shown(inverted.sparse_cosine(v.where(F.col("id") % 50 == 0), v, K))
 
 
-for _name, _sim, _d in (("normcosine", "dot", "1 - {}"), ("angle", "dot / (n.norm * m.norm)", "acos(greatest(-1, least(1, {})))"), ("normangle", "dot", "acos(greatest(-1, least(1, {})))")):
-    Q[f"sparse_{_name}_knn"] = lambda s, d, n=_name: shown(inverted.sparse_search(sparse(s, d).where(F.col("id") % 50 == 0), sparse(s, d), n, K))
-    SQL[f"sparse_{_name}_knn"] = f"""WITH {SPARSE}, n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM sp GROUP BY 1), p AS (SELECT a.id AS qid, b.id, sum(a.w * b.w) AS dot FROM sp a JOIN sp b USING (term) WHERE a.id % 50 = 0 GROUP BY 1, 2),
+@query(f"WITH {SPARSE} SELECT id, term, round(w / norm, 9) + 0.0::DOUBLE AS w FROM sp JOIN n USING (id)")
+def sparse_unit(s, d):
+    return inverted.normalised(sparse(s, d)).select("id", "term", (F.round("w", 9) + F.lit(0.0)).alias("w"))
+
+
+for _name, _unit, _d in (("normcosine", True, "1 - {}"), ("angle", False, "acos(greatest(-1, least(1, {})))"), ("normangle", True, "acos(greatest(-1, least(1, {})))")):
+
+    def _sparse_knn(s, d, n=_name, unit=_unit):
+        v = inverted.normalised(sparse(s, d)) if unit else sparse(s, d)
+        return shown(inverted.sparse_search(v.where(F.col("id") % 50 == 0), v, n, K))
+
+    Q[f"sparse_{_name}_knn"] = _sparse_knn
+    _own = f"{SPARSE}, v AS (SELECT sp.id, term, {'w / norm' if _unit else 'w'} AS w FROM sp JOIN n USING (id))"
+    _sim = "round(dot, 12)" if _unit else "round(dot / (n.norm * m.norm), 12)"
+    SQL[f"sparse_{_name}_knn"] = f"""WITH {_own}, p AS (SELECT a.id AS qid, b.id, sum(a.w * b.w) AS dot FROM v a JOIN v b USING (term) WHERE a.id % 50 = 0 GROUP BY 1, 2),
     h AS (SELECT qid, p.id, {_d.format(_sim)} AS d FROM p JOIN n ON n.id = p.id JOIN n m ON m.id = p.qid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank FROM h)
     SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}"""
 
 
-@query(f"WITH {SPARSE} SELECT id, array_to_string(list(term ORDER BY term), ',') AS terms, count(*) AS nnz FROM sp GROUP BY id")
+@query("WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), l AS (SELECT l_orderkey AS id, l_linenumber AS term, sum(l_quantity)::DOUBLE AS w FROM lineitem GROUP BY 1, 2) SELECT e.id AS qid, l.id, round(sum(e.v[l.term + 1] * l.w), 6) + 0.0::DOUBLE AS dot FROM e JOIN l ON e.id % 50 = 0 AND l.id % 50 = 0 GROUP BY 1, 2")
+def sparse_dense_dots(s, d):
+    lines = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("term")).agg(F.sum("l_quantity").cast("double").alias("w")).where("id % 50 = 0")
+    return inverted.sparse_dense_dot(lines, asked(vectors(s, d))).select("qid", "id", (F.round("dot", 6) + F.lit(0.0)).alias("dot"))
+
+
+@query(f"WITH {SPARSE} SELECT id, sum(length(term))::BIGINT AS letters, count(*) AS nnz FROM sp GROUP BY id")
 def sparse_results(s, d):
-    return sparse(s, d).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("term")), ",").alias("terms"), F.count("*").alias("nnz"))
+    return sparse(s, d).groupBy("id").agg(F.sum(F.length("term")).alias("letters"), F.count("*").alias("nnz"))
 
 
 # Graphs from nearest neighbours.
@@ -664,6 +732,40 @@ def graph_allknn(s, d):
     return shown(graph.allknn_graph(e, graph.build(e, D.L2), D.L2, 5))
 
 
+@query()
+def sat_allknn(s, d):
+    return shown(sat.allknn(sat.build(vectors(s, d), D.L2), D.L2, 5))
+
+
+@query()
+def graph_rebuilt_knn(s, d):
+    e = vectors(s, d)
+    edges = select.cut(graph.build_by_references(e, select.random_centers(e, 32, 1), D.L2))
+    return shown(graph.search(asked(e), e, graph.rebuild(e, edges, D.L2), D.L2, K, beam=32, delta=1.1))
+
+
+# An approximate search's recall against the exact answer, as a floor that it must reach.
+FLOORS = {"graph_knn": (K, True, 0.8), "graph_references_knn": (K, True, 0.7), "graph_rebuilt_knn": (K, True, 0.8), "sat_beam_knn": (K, True, 0.6), "graph_allknn": (5, False, 0.8), "sat_allknn": (5, False, 0.5)}
+
+
+def _recall(name: str):
+    k, some, floor = FLOORS[name]
+
+    def run(s, d):
+        e = vectors(s, d)
+        own = asked(e) if some else e.withColumnRenamed("id", "qid")
+        found = select.cut(Q[name](s, d))
+        exact = search.recall(search.knn(own, e, D.L2, k), found)
+        return exact.agg(F.count("*").alias("queries"), (F.avg("recall") >= floor).alias("reached"))
+
+    return run
+
+
+for _name, (_k, _some, _floor) in FLOORS.items():
+    Q[f"{_name}_recall"] = _recall(_name)
+    SQL[f"{_name}_recall"] = f"SELECT count(*) AS queries, true AS reached FROM embeddings WHERE {'vec_id % 50 = 0' if _some else 'true'}"
+
+
 @query()
 def graph_hints(s, d):
     e = vectors(s, d)

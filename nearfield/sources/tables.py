@@ -31,6 +31,43 @@ def read_results(spark: SparkSession, path: str, columns: dict[str, str] | None
     return spark.read.parquet(path).withColumnsRenamed(columns or {})
 
 
+#: Version of the layout of object stores.
+VERSION = 1
+
+
+def create_store(spark: SparkSession, path: str, dim: int, element: str = "double") -> None:
+    """A new store of (id, v) objects: path/objects and a head with version, dimension and element type. An existing one
+    is an error."""
+    head = spark.createDataFrame([(json.dumps({"version": VERSION, "dim": dim, "element": element}),)], "value string")
+    head.coalesce(1).write.mode("error").text(f"{path}/head")
+
+
+def store_head(spark: SparkSession, path: str) -> dict:
+    head = json.loads(spark.read.text(f"{path}/head").first()["value"])
+    if head.get("version") != VERSION:
+        raise ValueError(f"{path} has version {head.get('version')}, not {VERSION}")
+    return head
+
+
+def open_store(spark: SparkSession, path: str) -> DataFrame:
+    """(id, v) of a store. A DataFrame is read-only; append_store() adds."""
+    head = store_head(spark, path)
+    return spark.read.schema(f"id long, v array<{head['element']}>").option("recursiveFileLookup", "true").parquet(f"{path}/objects")
+
+
+def append_store(objects: DataFrame, path: str, read_only: bool = False) -> None:
+    """Appends to a store what fits its head: element type and dimension. One append is one commit."""
+    if read_only:
+        raise PermissionError(f"{path} is read-only")
+    head = store_head(objects.sparkSession, path)
+    own = objects.select(F.col("id").cast("long").alias("id"), "v")
+    if own.schema["v"].dataType.simpleString() != f"array<{head['element']}>":
+        raise TypeError(f"vectors of {own.schema['v'].dataType.simpleString()}, not of {head['element']}")
+    dim = head["dim"]
+    wrong = F.raise_error(F.lit(f"vectors must have dimension {dim}")).cast(own.schema["v"].dataType)
+    append_objects(own.select("id", F.when(F.size("v") == dim, F.col("v")).otherwise(wrong).alias("v")), f"{path}/objects")
+
+
 def append_objects(objects: DataFrame, path: str) -> None:
     """One append is one commit: readers see all of it or nothing."""
     objects.select("id", "v").write.mode("append").parquet(path)

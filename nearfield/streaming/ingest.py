@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,31 @@ def logged(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def due(before: int, now: int, base: float = 1.5, start: int = 0) -> bool:
+    """Whether work that follows the size is due after growing from `before` to `now` objects: at each power of the base."""
+    power = lambda n: math.ceil(math.log(n, base)) if n > 0 else 0
+    return now >= start and now > before and (before <= 0 or power(before) != power(now))
+
+
+def by_size(work: Callable[[SparkSession, int], None], path: str, base: float = 1.5, start: int = 0) -> Callable[[DataFrame, int], None]:
+    """A hook for ingest() that runs work(session, objects so far) when the size makes it due."""
+
+    def after(batch: DataFrame, batch_id: int) -> None:
+        own = logged(batch.sparkSession, path).where(F.col("batch_id") == batch_id).first()
+        if due(own["sp"] - 1, own["ep"], base, start):
+            work(batch.sparkSession, own["ep"])
+
+    return after
+
+
+def progress(query: StreamingQuery) -> dict[str, float]:
+    """Rows and rows a second of a stream's batches so far."""
+    own = query.recentProgress
+    rows = sum(p["numInputRows"] for p in own)
+    seconds = sum(p["batchDuration"] for p in own) / 1000
+    return {"batches": len(own), "rows": rows, "rows_per_second": rows / seconds if seconds else 0.0}
+
+
 def ingest(stream: DataFrame, path: str, checkpoint: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Appends (id, v) of each micro-batch to path/objects/batch=N and a log row (batch_id, event, sp, ep) to path/log.
 

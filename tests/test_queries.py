@@ -86,8 +86,8 @@ def test_graph_upkeep(spark):
     old, new = e.where("id % 10 <> 0"), e.where("id % 10 = 0")
     edges = select.cut(graph.append(old, graph.build(old, D.L2), new, D.L2))
     gold = search.knn(catalogue.asked(e), e, D.L2, 10)
-    beam, report = graph.tune(catalogue.asked(e), e, edges, D.L2, 10, graph.min_recall(0.8), beams=(8, 32))
-    assert max(r["recall"] for r in report) >= 0.8 and beam in (8, 32)
+    config, report = graph.tune(catalogue.asked(e), e, edges, D.L2, 10, graph.min_recall(0.8), beams=(8, 32), deltas=(0.95, 1.1))
+    assert len(report) == 4 and max(r["recall"] for r in report) >= 0.8 and config["beam"] in (8, 32) and config["delta"] in (0.95, 1.1)
     hints = graph.hints(e, edges, 16, "kdisjoint")
     assert search.recall(gold, graph.search(catalogue.asked(e), e, edges, D.L2, 10, beam=32, entry=hints)).agg(F.avg("recall")).first()[0] >= 0.7
     exact = joins.closest_pairs(e, e, D.L2, 2, same=True).first()
