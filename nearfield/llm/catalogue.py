@@ -97,24 +97,31 @@ def _sql_text(value):
     return "'" + value.replace("'", "''") + "'"
 
 
-def _canonical_sql(text):
-    words = f"trim(regexp_replace(regexp_replace(lower({text}), '{licences.COPYRIGHT_LINE}', ' ', 'g'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
-    table = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in licences.SPELLINGS) + "}"
-    plain = f"array_to_string(list_transform(string_split({words}, ' '), lambda w: coalesce({table}[w], w)), ' ')"
-    return f"CASE WHEN regexp_matches({words}, 'licen|permission|copyright|redistribut|warrant|public|spdx|reserved') THEN {plain} ELSE {words} END"
-
+# Written apart from the operator: only the fixed values (texts, digests, equal spellings) are shared.
+_HOLDER = r"(?im)^[ \t#*/;!-]*(?:copyright[ \t]*(?:\(c\)|©|[<\[{]|[12][0-9]{3}|by )|\(c\)[ \t]*(?:copyright|[12][0-9]{3})|©|all rights reserved)[^\n]*$"
+_SPELLED = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in licences.SPELLINGS) + "}"
+# a text's lines as lists of words, then its lines, and its blocks: what stands between lines without words
+_LINES = f"""list_transform(string_split(regexp_replace(text, '{_HOLDER}', '', 'g'), chr(10)), lambda l:
+  array_to_string(list_transform(list_filter(string_split(regexp_replace(lower(l), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: coalesce({_SPELLED}[w], w)), ' '))"""
+_BLOCKS = "list_filter(list_transform(string_split(replace(array_to_string(list_transform(lines, lambda l: CASE WHEN l = '' THEN chr(1) ELSE l END), ' '), chr(1) || ' ', chr(1)), chr(1)), lambda b: trim(b)), lambda b: b <> '')"
 
 OP4_SQL = f"""
 WITH texts(licence, text) AS (VALUES {", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in licences.KNOWN)}),
-known AS (SELECT DISTINCT licence, md5({_canonical_sql("text")}) AS digest FROM texts),
-parts AS (
-  SELECT doc_id, true AS whole, -1 AS line, text AS unit FROM documents WHERE text IS NOT NULL
-  UNION ALL
-  SELECT doc_id, false, unnest(range(len(string_split(text, chr(10)))))::INT, unnest(string_split(text, chr(10)))
-  FROM documents WHERE contains(text, chr(10))),
-units AS (SELECT doc_id, whole, line, {_canonical_sql("unit")} AS canonical FROM parts)
-SELECT doc_id, licence, bool_or(whole) AS whole, count(*) AS n_units, min(CASE WHEN NOT whole THEN line END) AS first_line
-FROM units JOIN known ON md5(canonical) = digest AND canonical <> '' GROUP BY doc_id, licence
+tl AS (SELECT licence, {_LINES} AS lines FROM texts),
+tb AS (SELECT licence, {_BLOCKS} AS b FROM tl),
+known AS (SELECT licence, len(b) AS blocks, md5(array_to_string(b, ' ')) AS whole, md5(array_to_string(list_transform(b, lambda x: md5(x)), '')) AS run FROM tb
+  UNION SELECT * FROM (VALUES {", ".join(f"('{a}', {n}, '{b}', '{c}')" for a, n, b, c in licences.KNOWN_DIGESTS)})),
+wanted AS (SELECT licence, whole AS digest FROM known UNION SELECT licence, run FROM known WHERE blocks > 1),
+dl AS (SELECT doc_id, {_LINES} AS lines FROM documents WHERE text IS NOT NULL),
+db AS (SELECT doc_id, lines, {_BLOCKS} AS b FROM dl),
+units AS (
+  SELECT doc_id, 'whole' AS kind, -1 AS line, md5(array_to_string(b, ' ')) AS digest FROM db WHERE len(b) > 0
+  UNION ALL SELECT doc_id, 'line', line, md5(l) FROM (SELECT doc_id, unnest(range(len(lines)))::INT AS line, unnest(lines) AS l FROM db WHERE len(lines) > 1) WHERE l <> ''
+  UNION ALL SELECT doc_id, 'block', -1, md5(x) FROM (SELECT doc_id, unnest(b) AS x FROM db WHERE len(b) > 1)
+  UNION ALL SELECT doc_id, 'run', -1, md5(array_to_string(list_transform(b[i:i + n - 1], lambda x: md5(x)), ''))
+    FROM (SELECT doc_id, b, n, unnest(range(1, len(b) - n + 2)) AS i FROM db JOIN (SELECT DISTINCT blocks AS n FROM known WHERE blocks > 1) ON len(b) >= n))
+SELECT doc_id, licence, bool_or(kind = 'whole') AS whole, count(*) FILTER (WHERE kind <> 'whole') AS n_units, min(CASE WHEN line >= 0 THEN line END) AS first_line
+FROM units JOIN wanted USING (digest) GROUP BY doc_id, licence
 """
 
 OP6_SQL = """

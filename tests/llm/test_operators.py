@@ -189,11 +189,6 @@ def test_line_dedup_brute_force(spark, least):
     assert {d: g - blank[d] for d, g in got.items()} == {d: g - blank[d] for d, g in later_lines(docs, least).items()}
 
 
-def test_licences(spark):
-    docs = spark.createDataFrame([(1, "Copyright (c) 2020 X\nReleased under the MIT LICENCE"), (2, "released under mit"), (3, "x\nLicensed under the Apache License,  Version 2.0!\ny")], "doc_id long, text string")
-    assert {(r["doc_id"], r["licence"], r["whole"]) for r in licences.scan(docs).collect()} == {(1, "MIT", True), (3, "Apache-2.0", False)}
-
-
 def test_media_round_trip_and_carving():
     payload = media.padded("héllo".encode())
     for make, kind in ((media.to_wav, "audio/wav"), (media.to_png, "image/png")):
