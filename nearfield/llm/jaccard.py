@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,16 +91,23 @@ def floor_depth(similarity: float = SIMILARITY, trees: int = TREES, depth: int =
     return next((d for d in range(depth, 1, -1) if chance(similarity, d, trees) >= recall), 1)
 
 
+@lru_cache(maxsize=8)
+def hashing(trees: int, depth: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of each tree's hash functions low to high of depth."""
+    rng = np.random.default_rng(SEED)
+    a = rng.integers(1, 2**63, size=(trees, depth), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 2**63, size=(trees, depth), dtype=np.uint64)
+    return a[:, low:high].reshape(-1, 1).copy(), b[:, low:high].reshape(-1, 1).copy()
+
+
 def minima(grams: np.ndarray, trees: int, depth: int, low: int, high: int) -> np.ndarray:
     """(trees, high - low): each tree's minima under its hash functions low to high of depth."""
-    rng = np.random.default_rng(SEED)
-    a = (rng.integers(1, 2**63, size=(trees, depth), dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, low:high].ravel()
-    b = rng.integers(0, 2**63, size=(trees, depth), dtype=np.uint64)[:, low:high].ravel()
+    a, b = hashing(trees, depth, low, high)
     least = np.full(len(a), np.uint64(2**64 - 1))
     for at in range(0, len(grams), 512):
         part = grams[at : at + 512]
-        mixed = part[None, :] * a[:, None]
-        mixed += b[:, None]
+        mixed = part[None, :] * a
+        mixed += b
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
         np.minimum(least, mixed.min(1), out=least)

@@ -6,17 +6,18 @@ repeated run, so the array holds the suffixes inside segments of such lines, and
 distinct pairs (rank here, rank 2^k lines on) over the cluster, and a pair's place is the next rank. Doubling stops at
 the length within which any run reaches min_words, at most min_words lines, so the rounds don't follow the longest copy.
 
-The array's intervals whose longest common prefix spans min_words words are read from the ranks: the shortest window
-from a line (or up to a line) with min_words words is the same text exactly where (length, rank of its first 2^k lines,
-rank of its last 2^k lines) is equal. In each interval the first occurrence, by (doc_id, line), stays, and every other
-window is a later copy. A maximal repeated run of min_words words or more is the union of its windows, so all of its
-later copies go, and a shorter run stays.
+Longest common prefixes are needed only as far as min_words words: two suffixes have one that long just where they agree
+on the shortest window of min_words words, and two windows agree where (length, rank of the first 2^k lines, rank of the
+last 2^k lines) does, 2^k being the greatest power within the length. So each key is an interval of the array with a
+longest common prefix of min_words words or more. In each interval the first occurrence, by (doc_id, line), stays, and
+every other window, from a line or up to a line, is a later copy. A maximal repeated run of min_words words or more is the
+union of its windows, so all of its later copies go, and a shorter run stays.
 
 Frequent lines and windows join without meeting in one task (hot_join), and are counted with partial aggregation.
 
 Cases: null text stays null; blank lines belong to no run, but go where both neighbours go; rows with equal doc_id and
 text are one document given several times and are treated alike; null doc_id is first in order; an empty table gives
-an empty result; columns named like the results are replaced, other columns are kept.
+an empty result; columns may have any name, those named like the results are replaced in dedup(), none in cleaned().
 """
 
 from __future__ import annotations
