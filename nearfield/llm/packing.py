@@ -7,7 +7,7 @@ combinations that fill its gap exactly are looked up and consumed under the avai
 best fit goes in and its residual gap is looked up in turn. Best fit packs the residual, the lengths below a bound, for
 which the plan with the fewest sequences is taken. A plan is a list of patterns with multiplicities, a few for each
 length. Pieces take their place by their rank within their length; ranks are counted over (length, hash bucket) totals,
-and there are as many buckets as keep them small, so that no length's rows meet in one task.
+in number the square root of the length's pieces, so that no length's rows meet in one task.
 
 Ids are the tokenizer's own: a text that holds the name of an added token goes to the tokenizer itself.
 
@@ -17,6 +17,7 @@ separate documents, and rows that are wholly equal are interchangeable; an empty
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,8 +33,6 @@ CAPACITY = 1024
 END = 2
 #: Lengths, evenly spread, at which a plan may go over from exact complements to best fit.
 STEPS = 16
-#: Rows that a hash bucket of ranks holds on average, at the most.
-BUCKET_ROWS = 50_000
 #: Entries of the table of encoded words in a Python worker; it is emptied when full.
 CACHED_WORDS = 400_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -273,8 +272,10 @@ def assign(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = cut_up.sparkSession
     # at most `capacity` rows
     totals = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    buckets = -(-max(totals.values(), default=1) // BUCKET_ROWS)
-    placed = cut_up.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(buckets)).cast("int"))
+    # n pieces of a length fall into sqrt(n) buckets of sqrt(n), so that neither a bucket nor their totals are many rows
+    buckets = F.array(*[F.lit(math.isqrt(totals.get(length, 0)) + 1) for length in range(1, capacity + 1)])
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.element_at(buckets, F.col("length").cast("int")))
+    placed = cut_up.withColumn("bucket", bucket.cast("int"))
     per_bucket = placed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in totals.items():
