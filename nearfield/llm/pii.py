@@ -39,8 +39,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT, NOT_DIGIT = re.compile(r"[0-9]"), re.compile(r"[^0-9]+")
-#: An address needs an @ or the word at.
-MAY_BE_EMAIL = re.compile(r"@|\bat\b", re.I)
+#: The shortest key or password that is looked for.
+SECRET = 16
 
 
 def luhn(digits: str) -> bool:
@@ -81,9 +81,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], BASE_KINDS.index(s[2]), s[1]))
 
 
+#: An obfuscated address from its "at" on, and what stands before it.
+AT = re.compile(r"(?:@|\bat\b)[\])}>]? ?[\w-]{1,63}+ ?[\[({<]?(?:\bdot\b|\.)[\])}>]? ?[a-z]{2,24}\b", re.I | re.A)
+BEFORE_AT = re.compile(r"(?<![\w.+-])[\w.+-]{1,64}+ ?[\[({<]?\Z", re.A)
 # Generators: wide patterns, anchored so that each run is tried once.
 GENERATORS = {
-    "email_obfuscated": re.compile(r"(?<![\w.+-])[\w.+-]{1,64}+ ?[\[({<]?(?:\bat\b|@)[\])}>]? ?[\w-]{1,63}+ ?[\[({<]?(?:\bdot\b|\.)[\])}>]? ?[a-z]{2,24}\b", re.I | re.A),
     "phone_local": re.compile(r"(?<![\w+.-])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[ ./-][0-9]{2,5}){2,4}(?![\w-])", re.A),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A),
     "identity": re.compile(r"(?<![\w.-])[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![\w-])", re.A),
@@ -102,16 +104,16 @@ WINDOW = 32
 
 
 def propose(text: str) -> list[tuple[int, int, str]]:
-    """Overlapping proposals of all generators; one is skipped only where a character or word that it needs is missing."""
-    digits = DIGIT.search(text) is not None
+    """Overlapping proposals of all generators; one is skipped only where what it needs is missing: a digit, or a word of a
+    secret's length."""
     found = []
+    for m in AT.finditer(text):
+        if before := BEFORE_AT.search(text, max(0, m.start() - 67), m.start()):
+            found.append((before.start(), m.end(), "email_obfuscated"))
+    digits, long = DIGIT.search(text) is not None, any(len(word) >= SECRET for word in text.split())
     for kind, pattern in GENERATORS.items():
-        if kind == "email_obfuscated":
-            if not MAY_BE_EMAIL.search(text):
-                continue
-        elif kind != "secret" and not digits:
-            continue
-        found += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
+        if long if kind == "secret" else digits:
+            found += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
     return found
 
 
