@@ -222,6 +222,21 @@ def test_topk_wide_and_odd_vectors(spark):
             assert sorted(got.get(i, [])) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
 
 
+def test_topk_of_huge_components_and_shared_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 4)]) for i in range(120)]
+    rows += [(120, [1e300, 0.0, 0.0, 0.0]), (121, [-1e300, 1e18, 0.0, 0.0]), (50, [2.0, 0.0, 0.0, 1.0]), (50, rows[50][1]), (0, [1e20, 1.0, 1.0, 1.0])]
+    whole = [(i, [min(max(int(np.floor(256 * x)) if abs(x) < 1e15 else int(256 * x), -(2**63)), 2**63 - 1024) for x in v]) for i, v in rows]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = {}
+    for i, q in {(i, tuple(q)) for i, q in whole if i % 50 == 0}:
+        scores = sorted((-min(max(sum(a * b for a, b in zip(q, p)), -(2**63)), 2**63 - 1), j) for j, p in whole if j != i)[:5]
+        want.setdefault(i, []).extend((n + 1, j, -s) for n, (s, j) in enumerate(scores))
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()}
+
+
 def test_pii_base_patterns():
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
     r = random.Random(1)
