@@ -279,10 +279,3 @@ def test_main_text():
     assert htmltext.main_text(page) == "Head & more\nFirst para bold text that is long enough.\nOk."
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<nav>x</nav>") == ""
     assert htmltext.main_text("<body><nav>a b c</nav><div><p>Some plain text without an article element in it.</p><p>Short.</p></div>") == "Some plain text without an article element in it.\nShort."
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    rows = corpus_pipeline.run(spark, DATA).collect()
-    assert rows and {"doc_id", "piece", "sequence_id", "offset"} <= set(rows[0].asDict())
