@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Size of the bitmap of maybe_in(), in words of 32 bits.
+FILTER_WORDS = 1 << 18
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,6 +67,19 @@ def text_key(*columns: Column | str) -> Column:
 HOT = 10_000
 
 
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows with _maybe: true where the key is among those of keys, and by chance elsewhere.
+
+    A bitmap of the keys' hashes joins by words of 32 bits; it has FILTER_WORDS rows at most, so it is broadcast. What it
+    rules out needn't be shuffled.
+    """
+    place = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(32 * FILTER_WORDS))
+    word, bit = F.floor(place / 32).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int"))
+    bitmap = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = rows.withColumn("_word", word).join(F.broadcast(bitmap), "_word", "left")
+    return found.withColumn("_maybe", F.coalesce(bit.bitwiseAND(F.col("_bits")) != 0, F.lit(False))).drop("_word", "_bits")
+
+
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str = "n", how: str = "inner") -> DataFrame:
     """left joined with right, which has one row a key, a count of the key's rows and stored rows (it is read thrice).
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join, partitions, quoted, text_key
+from .common import cut, hot_join, maybe_in, partitions, quoted, text_key
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -46,8 +46,6 @@ BLOCK = 512
 BLOCK_GRAMS = 2_000_000
 #: A bucket of more classes looks for a ball.
 CROWDED = 2 * BLOCK
-#: Bits of the filter of texts to be read again, in words of 32.
-FILTER_WORDS = 1 << 18
 SEED = 17
 WORD = re.compile(r"[^\W_]+")
 #: Entries of a worker's table of word hashes; it is emptied when full.
@@ -153,25 +151,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", text_key("doc_id", "text").alias("row_key"), "text")
 
 
-def maybe_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """rows with _maybe: true where row_key is among those of keys, and by chance elsewhere.
-
-    A bitmap of the keys' hashes joins by words of 32 bits; it has FILTER_WORDS rows at most, so it is broadcast.
-    """
-    place = F.pmod(F.xxhash64("row_key", F.lit(7)), F.lit(32 * FILTER_WORDS))
-    word, bit = F.floor(place / 32).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int"))
-    bitmap = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    found = rows.withColumn("_word", word).join(F.broadcast(bitmap), "_word", "left")
-    return found.withColumn("_maybe", F.coalesce(bit.bitwiseAND(F.col("_bits")) != 0, F.lit(False))).drop("_word", "_bits")
-
-
 def gram_sets(docs: DataFrame, wanted: DataFrame, words: int, trees: int, depth: int, floor: int) -> DataFrame:
     """wanted (one row a class, with the row_key of one of its documents) with grams and deep, read again from the texts.
 
     A filter of fixed size keeps most other texts out of the shuffle. Copies of a text have row keys of their own, so
     that they don't meet.
     """
-    near = maybe_in(keyed(docs).select("row_key", "text"), wanted).where("_maybe").select("row_key", "text")
+    near = maybe_in(keyed(docs).select("row_key", "text"), wanted, "row_key").where("_maybe").select("row_key", "text")
     texts = near.join(wanted.select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -503,7 +489,7 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     found = cut(found.select("group", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key").alias("own")))
     best = found.groupBy("group").agg(F.min("own").alias("own")).select("own.row_key", F.lit(True).alias("best"))
     rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("_id"), "text")
-    rows = maybe_in(rows.select("row", text_key(F.col("_id"), F.col("text")).alias("row_key")), found.select("own.row_key"))
+    rows = maybe_in(rows.select("row", text_key(F.col("_id"), F.col("text")).alias("row_key")), found.select("own.row_key"), "row_key")
     several = found.select("own.row_key").distinct().join(best, "row_key", "left")
     some = rows.where("_maybe").join(several.select("row_key", F.coalesce("best", F.lit(False)).alias("best")), "row_key", "left")
     first = some.where("best").groupBy("row_key").agg(F.first("row").alias("row"))

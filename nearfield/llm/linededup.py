@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, hot_join, partitions, quoted, text_key
+from .common import cut, hot_join, maybe_in, partitions, quoted, text_key
 
 #: Words that a repeated run of whole lines must have. A passage of more than 50 words that begins or ends inside a line
 #: leaves fewer in whole lines.
@@ -171,9 +171,13 @@ def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, length: str | None = No
 
 def _deduped(docs: DataFrame, min_words: int) -> DataFrame:
     """(row, new, n_lines, removed_lines, removed): row has the columns of docs, new is its text without later copies."""
-    later = later_copies(docs, min_words)
-    own = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("text").alias("old"), text_key("doc_id", "text").alias("key"))
-    joined = own.join(later, "key", "left").select("row", "old", "spans")
+    later = cut(later_copies(docs, min_words))
+    own = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), text_key("doc_id", "text").alias("key"))
+    # only documents that may have later copies are shuffled
+    own = maybe_in(own, later, "key")
+    some = own.where("_maybe").join(later, "key", "left").select("row", "spans")
+    joined = own.where("not _maybe").select("row", F.lit(None).cast(later.schema["spans"].dataType).alias("spans")).union(some)
+    joined = joined.select("row", F.col("row")["text"].alias("old"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
