@@ -13,6 +13,7 @@ start belongs to it; other columns are ignored; an empty table gives an empty re
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 UNIT = 192
 PAD = b"\x20"
+#: Bytes of a packed stream that are read at a time.
+PIECE = 1 << 14
 UNKNOWN = "application/octet-stream"
 
 Found = tuple[int, bytes | None]  # length, 8-bit samples if the format holds them as such
@@ -111,6 +114,10 @@ def gif(data: memoryview) -> Found | None:
     return None
 
 
+#: Ends a scan: a marker other than an escaped byte or a restart.
+MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.S)
+
+
 def jpeg(data: memoryview) -> Found | None:
     """JPEG: segments with lengths, a frame, a scan, then the end marker."""
     at, frame = 2, False
@@ -126,14 +133,11 @@ def jpeg(data: memoryview) -> Found | None:
         frame |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
         at += 2 + size
         if kind == 0xDA:
-            whole = bytes(data[at:])
-            next_at = whole.find(b"\xff")
-            while next_at >= 0 and next_at + 1 < len(whole) and (whole[next_at + 1] == 0 or 0xD0 <= whole[next_at + 1] <= 0xD7):
-                next_at = whole.find(b"\xff", next_at + 2)
-            if next_at < 0 or next_at + 1 >= len(whole):
+            marker = MARKER.search(data, at)
+            if marker is None:
                 return None
-            at += next_at
-            if whole[next_at + 1] == 0xD9:
+            at = marker.start()
+            if data[at + 1] == 0xD9:
                 return (at + 2, None) if frame else None
     return None
 
@@ -160,20 +164,22 @@ def bmp(data: memoryview) -> Found | None:
 
 
 def gzip(data: memoryview) -> Found | None:
-    """One gzip member: deflate stream with checksum; unpacked piecewise, nothing is kept."""
+    """One gzip member: deflate stream with checksum; read and unpacked piecewise, nothing is kept."""
     if len(data) < 18 or data[3] & 0xE0:
         return None
-    unpacker, rest = zlib.decompressobj(31), bytes(data)
+    unpacker, at, rest = zlib.decompressobj(31), 0, b""
     try:
         while not unpacker.eof:
-            before = len(rest)
-            got = unpacker.decompress(rest, 1 << 20)
+            if not rest:
+                rest = bytes(data[at : at + PIECE])
+                at += len(rest)
+                if not rest:
+                    return None
+            unpacker.decompress(rest, 1 << 20)
             rest = unpacker.unconsumed_tail
-            if not got and len(rest) in (0, before) and not unpacker.eof:
-                return None
     except zlib.error:
         return None
-    return len(data) - len(unpacker.unused_data), None
+    return at - len(unpacker.unused_data), None
 
 
 # Signatures and media types.

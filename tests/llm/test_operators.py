@@ -200,6 +200,21 @@ def test_media_round_trip_and_carving():
     assert len(media.padded(b"")) == 192 and media.sniffed(None, None)[0] == media.UNKNOWN
 
 
+def test_packed_and_crafted_media():
+    import gzip
+    import time
+
+    body = os.urandom(200_000) + b"a" * 5_000_000
+    data = b"xx" + gzip.compress(body) + b"yy" + gzip.compress(b"") + b"tail"
+    assert [(a, n, kind) for a, n, kind, _ in media.parts(data)] == [(2, len(gzip.compress(body)), "application/gzip"), (4 + len(gzip.compress(body)), len(gzip.compress(b"")), "application/gzip")]
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x04cd\xff\xda\x00\x04ef12\xff\x0034\xff\xd056\xff\xd9"
+    assert [(a, n) for a, n, _, _ in media.parts(b"z" + jpeg + b"\xff")] == [(1, len(jpeg))] and media.parts(jpeg[:-2]) == []
+    began = time.process_time()
+    for magic in (b"\x1f\x8b\x08\x00", b"\xff\xd8\xff\xda\x00\x02", b"RIFF\xff\xff", b"BM", b"GIF89a", b"\x89PNG\r\n\x1a\n"):
+        media.parts(magic * 200_000)
+    assert time.process_time() - began < 20
+
+
 def test_media_query(spark):
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs_of(spark).collect()}
     for r in media.described(media.store(docs_of(spark))).collect():
