@@ -252,13 +252,20 @@ def build_by_references(objects: DataFrame, references: DataFrame, dist, length:
 
 # Hints: entry points of a search, a bounded number.
 def spread(candidates: DataFrame, edges: DataFrame, n: int, hops: int) -> list[int]:
-    """The first n of candidates (id, place), a bounded table, that aren't within `hops` of an earlier one."""
-    near = candidates.select(F.col("id").alias("of"), "id")
-    for _ in range(hops):
-        near = cut(near.unionByName(near.join(edges, F.col("id") == F.col("src")).select("of", F.col("dst").alias("id"))).distinct())
+    """The first n of candidates (id, place), a bounded table, that aren't within `hops` of an earlier one. Candidates walk
+    half the hops each, since edges go both ways, and are close where they meet."""
+
+    def walked(steps: int) -> DataFrame:
+        near = candidates.select(F.col("id").alias("of"), "id")
+        for _ in range(steps):
+            near = cut(near.unionByName(near.join(edges, F.col("id") == F.col("src")).select("of", F.col("dst").alias("id"))).distinct())
+        return near
+
+    met = walked(hops - hops // 2).join(walked(hops // 2).withColumnRenamed("of", "other"), "id").where("of <> other")
     close: dict[int, set[int]] = {}
-    for r in near.join(candidates.select("id"), "id", "left_semi").where("of <> id").collect():
-        close.setdefault(r["of"], set()).add(r["id"])
+    for r in met.select("of", "other").distinct().collect():
+        close.setdefault(r["of"], set()).add(r["other"])
+        close.setdefault(r["other"], set()).add(r["of"])
     chosen, gone = [], set()
     for r in candidates.orderBy("place", "id").collect():
         if r["id"] not in gone:

@@ -1,7 +1,5 @@
 """Distance joins: closest pairs, metric join, half-space proximal selection, point-cloud distances."""
 
-from __future__ import annotations
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -130,3 +128,67 @@ def _nearest_by_cloud(points: DataFrame, dist) -> DataFrame:
     near = near.groupBy("one", "a", "two").agg(F.min("dist").alias("dist"))
     a, b = clouds.select(F.col("number").alias("one"), F.col("cloud").alias("cloud_a")), clouds.select(F.col("number").alias("two"), F.col("cloud").alias("cloud_b"))
     return near.join(a, "one").join(b, "two").select("cloud_a", "a", "cloud_b", "dist")
+
+
+def transport(cost: np.ndarray) -> float:
+    """The least mean cost of moving an even mass over the rows to an even mass over the columns.
+
+    Successive shortest paths with potentials: row i gives n units, column j takes m, and each path moves as much as it can.
+    """
+    m, n = cost.shape
+    supply, demand = np.full(m, n, np.int64), np.full(n, m, np.int64)
+    flow = np.zeros((m, n), np.int64)
+    u, v = np.zeros(m), cost.min(0)
+    while supply.any():
+        # distances from all rows with supply, over reduced costs; a column leads back to the rows that serve it
+        row_d, row_from = np.where(supply > 0, 0.0, np.inf), np.full(m, -1)
+        col_d, col_from = np.full(n, np.inf), np.full(n, -1)
+        row_open, col_open = np.ones(m, bool), np.ones(n, bool)
+        while True:
+            i = int(np.where(row_open, row_d, np.inf).argmin())
+            j = int(np.where(col_open, col_d, np.inf).argmin())
+            if row_open[i] and row_d[i] <= (col_d[j] if col_open[j] else np.inf):
+                row_open[i] = False
+                d = row_d[i] + np.maximum(cost[i] - u[i] - v, 0.0)
+                better = col_open & (d < col_d)
+                col_d[better], col_from[better] = d[better], i
+            else:
+                col_open[j] = False
+                if demand[j]:
+                    break
+                d = np.where(flow[:, j] > 0, col_d[j], np.inf)
+                better = row_open & (d < row_d)
+                row_d[better], row_from[better] = d[better], j
+        end = col_d[j]
+        u += np.minimum(row_d, end) * -1 + end
+        v += np.minimum(col_d, end) - end
+        path, at = [], j
+        while True:
+            i = int(col_from[at])
+            path.append((i, at, 1))
+            if row_from[i] < 0:
+                break
+            at = int(row_from[i])
+            path.append((i, at, -1))
+        start = path[-1][0]
+        amount = min([supply[start], demand[j], *(flow[a, b] for a, b, way in path if way < 0)])
+        for a, b, way in path:
+            flow[a, b] += way * amount
+        supply[start] -= amount
+        demand[j] -= amount
+    return float((flow * cost).sum() / (m * n))
+
+
+def cloud_emd(points: DataFrame, dist) -> DataFrame:
+    """(cloud_a, cloud_b, emd) of every pair of clouds of dense vectors, cloud_a < cloud_b: the earth mover's distance
+    between even masses over their points. A pair of clouds is solved in one task; clouds must fit one."""
+    clouds = points.groupBy("cloud").agg(F.array_sort(F.collect_list(F.struct("id", "v")))["v"].alias("v"))
+    slots = slots_of(points)
+    a = clouds.select(F.col("cloud").alias("cloud_a"), F.col("v").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    b = clouds.select(F.col("cloud").alias("cloud_b"), F.col("v").alias("y"), F.pmod(F.xxhash64("cloud"), F.lit(slots)).cast("int").alias("slot"))
+
+    @F.pandas_udf("double")
+    def solve(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([transport(dist.block(np.stack(p).astype(np.float64), np.stack(q).astype(np.float64))) for p, q in zip(x, y)], dtype="float64")
+
+    return a.join(b, "slot").where("cloud_a < cloud_b").select("cloud_a", "cloud_b", solve("x", "y").alias("emd"))

@@ -292,3 +292,20 @@ def test_results_and_the_command_line(spark, e, tmp_path, capsys):
     tables.write_results(gold.withColumnsRenamed({"qid": "q", "id": "o"}), f"{tmp_path}/own", distances=False)
     again = tables.read_results(spark, f"{tmp_path}/own", {"q": "qid", "o": "id"})
     assert again.columns == ["qid", "id", "rank"] and again.count() == gold.count()
+
+
+def test_earth_movers_distance(spark):
+    import itertools
+
+    rng = np.random.default_rng(2)
+    for m, n in ((1, 1), (3, 3), (5, 5), (2, 4), (3, 6), (6, 2), (1, 4)):
+        cost = rng.random((m, n)).round(2)
+        whole = np.lcm(m, n)  # each point as so many that both sides have one number
+        a, b = np.repeat(np.arange(m), whole // m), np.repeat(np.arange(n), whole // n)
+        best = min(sum(cost[a[i], p] for i, p in enumerate(order)) for order in set(itertools.permutations(b))) / whole
+        assert joins.transport(cost) == pytest.approx(best)
+    points = spark.createDataFrame([(c, 10 * c + i, [float(x) for x in rng.normal(c, 1, 2)]) for c in range(3) for i in range(4)], "cloud long, id long, v array<double>")
+    got = {(r["cloud_a"], r["cloud_b"]): r["emd"] for r in joins.cloud_emd(points, D.L2).collect()}
+    assert set(got) == {(0, 1), (0, 2), (1, 2)} and got[0, 1] <= got[0, 2] + got[1, 2] + 1e-9
+    same = points.where("cloud = 0").unionByName(points.where("cloud = 0").withColumn("cloud", F.lit(9).cast("long")))
+    assert joins.cloud_emd(same, D.L2).first()["emd"] == pytest.approx(0.0)
