@@ -9,14 +9,22 @@ from .search import recall, slots_of
 from .select import cut
 
 
+#: Up to so many values of a group are merged in one task.
+GROUP = 200_000
+
+
 def quantiles(df: DataFrame, column: str, at: float, by: str | None = None) -> DataFrame:
     """(by, n, quantile): the exact quantile of each group's values, interpolated between the two nearest ranks.
 
-    Values are range-sorted over the cluster and ranks counted by partition, so that no group's values meet in a task.
-    Nulls don't count.
+    Groups of at most GROUP values are merged in a task each. If any is larger, values are range-sorted over the cluster
+    and ranks counted by partition, so that no group's values meet in a task. df is read twice. Nulls don't count.
     """
     key = F.col(by) if by else F.lit(0)
     rows = df.select(key.alias("_by"), F.col(column).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    own, keep = rows.groupBy("_by"), [F.col("_by").alias(by)] if by else []
+    if not own.count().where(F.col("count") > GROUP).limit(1).count():
+        found = own.agg(F.count("*").alias("n"), F.percentile("_x", F.lit(float(at))).alias("quantile"))
+        return found.select(*keep, "n", "quantile")
     rows = rows.repartitionByRange(slots_of(df), "_by", "_x").sortWithinPartitions("_by", "_x")
     rows = cut(rows.select("_by", "_x", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place")))
     parts = rows.groupBy("_by", "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
@@ -31,7 +39,7 @@ def quantiles(df: DataFrame, column: str, at: float, by: str | None = None) -> D
     found = rows.select("_place", "_x").join(wanted.select("_by", "n", "_rank", "_at", "_place"), "_place")
     low, high = F.min_by("_x", "_at"), F.max_by("_x", "_at")
     found = found.groupBy("_by", "n").agg((low + (high - low) * (F.max("_rank") - F.min("_at"))).alias("quantile"))
-    return found.select(F.col("_by").alias(by), "n", "quantile") if by else found.select("n", "quantile")
+    return found.select(*keep, "n", "quantile")
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:

@@ -616,7 +616,7 @@ def sparse(s, d):
 h AS (SELECT qid, p.id, 1 - dot / (n.norm * m.norm) AS d FROM p JOIN n ON n.id = p.id JOIN n m ON m.id = p.qid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INT AS rank FROM h)
 SELECT qid, id, rank, round(d, 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}""")
 def sparse_cosine_knn(s, d):
-    v = sparse(s, d)
+    v = select.cut(sparse(s, d))
     return shown(inverted.sparse_cosine(v.where(F.col("id") % 50 == 0), v, K))
 
 
@@ -628,7 +628,7 @@ def sparse_unit(s, d):
 for _name, _unit, _d in (("normcosine", True, "1 - {}"), ("angle", False, "acos(greatest(-1, least(1, {})))"), ("normangle", True, "acos(greatest(-1, least(1, {})))")):
 
     def _sparse_knn(s, d, n=_name, unit=_unit):
-        v = inverted.normalised(sparse(s, d)) if unit else sparse(s, d)
+        v = select.cut(inverted.normalised(sparse(s, d)) if unit else sparse(s, d))
         return shown(inverted.sparse_search(v.where(F.col("id") % 50 == 0), v, n, K))
 
     Q[f"sparse_{_name}_knn"] = _sparse_knn
