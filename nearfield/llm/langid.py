@@ -146,11 +146,12 @@ def sampled(docs: DataFrame, per_language: int) -> DataFrame:
     """(lang, text, part): about per_language labelled rows of each language that aren't held out."""
     # ids' hashes are spread evenly, so that a limit on them takes as many as wanted; part says what a row is used for
     key = F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"))
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").isNotNull())
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    # counted without looking at texts: null ones lessen the sample a little
     counted = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
     share = F.lit(float(per_language)) / F.col("rows")
     limits = counted.select("lang", F.when(share >= 1, 2**63 - 1).otherwise((F.lit(float(2**64)) * share - F.lit(float(2**63))).cast("long")).alias("limit"))
-    rows = labelled.select("lang", "text", key.alias("key"))
+    rows = labelled.where("text is not null").select("lang", "text", key.alias("key"))
     return rows.join(F.broadcast(limits), "lang").where("key <= limit").select("lang", "text", F.pmod(F.shiftright("key", 3), F.lit(CALIBRATION)).cast("int").alias("part"))
 
 
