@@ -246,11 +246,12 @@ def _identified(docs: DataFrame, model: Model | None, keep: tuple[str, ...]) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                own = list(zip(*(model.value.predict(t) for t in part.column(len(keep)).to_pylist())))
+                own = list(zip(*(model.value.predict(t) for t in part.column(place).to_pylist())))
                 names = [*(f"_{i}" for i in range(len(keep))), *(f"_{c}" for c in RESULTS)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(list(v), t) for v, t in zip(own, types))], names=names)
 
-    # the text comes again under a name of its own, so that it may be among the kept columns too
-    own = docs.select(*[quoted(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
+    # a text that isn't among the kept columns comes last
+    place = keep.index("text") if "text" in keep else len(keep)
+    own = docs.select(*[quoted(c).alias(f"_{i}") for i, c in enumerate(keep)], *([F.col("text").alias("_text")] if place == len(keep) else []))
     types = (T.StringType(), T.DoubleType(), T.BooleanType(), T.BooleanType(), T.ArrayType(T.DoubleType()))
-    return own.mapInArrow(run, T.StructType([*own.schema.fields[:-1], *(T.StructField(f"_{c}", t) for c, t in zip(RESULTS, types))]))
+    return own.mapInArrow(run, T.StructType([*own.schema.fields[: len(keep)], *(T.StructField(f"_{c}", t) for c, t in zip(RESULTS, types))]))

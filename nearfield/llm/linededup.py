@@ -34,6 +34,8 @@ from .common import cut, hot_join, maybe_in, partitions, quoted, text_key
 #: Words that a repeated run of whole lines must have. A passage of more than 50 words that begins or ends inside a line
 #: leaves fewer in whole lines.
 MIN_WORDS = 30
+#: Rows that a Python worker takes up at a time.
+SLICE = 256
 RESULTS = ("n_lines", "removed_lines", "removed")
 
 
@@ -55,7 +57,7 @@ def segments(docs: DataFrame, min_words: int) -> DataFrame:
     by_doc = numbered.groupBy("key", "doc_id").agg(F.max("again").alias("any"), F.array_sort(F.collect_set(F.struct("line", "id", "words", "again"))).alias("all")).where("any")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             out: list[list] = [[], [], [], [], []]
             for key, doc_id, every_line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 run: list[dict] = []
@@ -105,7 +107,7 @@ def windows(found: DataFrame, min_words: int) -> DataFrame:
     """(key, doc_id, first, last, length, head, tail): the shortest windows of min_words words from and up to each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             out: list[list] = [[] for _ in range(7)]
             for key, doc_id, lines, words, ranks in zip(*(c.to_pylist() for c in batch.columns)):
                 n, spans = len(lines), set()
@@ -156,55 +158,61 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     and removed (array of the first and last numbers of lines that went)."""
     names = [c for c in docs.columns if c not in RESULTS]
     done = _deduped(docs.select(*map(quoted, names)), min_words)
-    return done.select(*[(F.col("new") if c == "text" else F.col("row")[c]).alias(c) for c in names], *RESULTS)
+    return done.select(*[F.col("row")[c].alias(c) for c in names], *RESULTS)
 
 
 def cleaned(docs: DataFrame, min_words: int = MIN_WORDS, length: str | None = None) -> DataFrame:
     """The rows of docs, whatever their columns' names, without later copies; those of which nothing is left go. length
     names a column that holds the number of characters of text, which is counted again where lines went."""
-    done = _deduped(docs, min_words).where((F.col("removed_lines") == 0) | F.col("new").rlike(r"\S"))
-    values = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("new")}
+    text = F.col("row")["text"]
+    done = _deduped(docs, min_words).where((F.col("removed_lines") == 0) | text.rlike(r"\S"))
+    values = {c: F.col("row")[c] for c in docs.columns}
     if length in values:
-        values[length] = F.when(F.col("removed_lines") > 0, F.length("new")).otherwise(values[length]).cast(docs.schema[length].dataType)
+        values[length] = F.when(F.col("removed_lines") > 0, F.length(text)).otherwise(values[length]).cast(docs.schema[length].dataType)
     return done.select(*[values[c].alias(c) for c in docs.columns])
 
 
+def without(text: str | None, spans: list[dict] | None) -> tuple[str | None, int | None, int, list[dict]]:
+    """(text, n_lines, removed_lines, removed): a text without some spans of lines, and what went."""
+    if not spans:
+        return text, None if text is None else text.count("\n") + 1, 0, []
+    lines, merged = text.split("\n"), []
+    for a, b in sorted((s["first"], s["last"]) for s in spans):
+        # with only blank lines between two spans, those go too
+        if merged and (a <= merged[-1][1] + 1 or not any(x.strip() for x in lines[merged[-1][1] + 1 : a])):
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    rest, done = [], 0
+    for a, b in merged:
+        rest += lines[done:a]
+        done = b + 1
+    rest += lines[done:]
+    return "\n".join(rest), len(lines), sum(b - a + 1 for a, b in merged), [{"first": a, "last": b} for a, b in merged]
+
+
 def _deduped(docs: DataFrame, min_words: int) -> DataFrame:
-    """(row, new, n_lines, removed_lines, removed): row has the columns of docs, new is its text without later copies."""
+    """(row, n_lines, removed_lines, removed): row has the columns of docs, its text being without later copies."""
     later = cut(later_copies(docs, min_words))
     own = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), text_key("doc_id", "text").alias("key"))
     # only documents that may have later copies are shuffled
     own = maybe_in(own, later, "key")
     some = own.where("_maybe").join(later, "key", "left").select("row", "spans")
     joined = own.where("not _maybe").select("row", F.lit(None).cast(later.schema["spans"].dataType).alias("spans")).union(some)
-    joined = joined.select("row", F.col("row")["text"].alias("old"), "spans")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if not spans:
-                    values = text, None if text is None else text.count("\n") + 1, 0, []
-                else:
-                    lines, merged = text.split("\n"), []
-                    for a, b in sorted((s["first"], s["last"]) for s in spans):
-                        # with only blank lines between two spans, those go too
-                        if merged and (a <= merged[-1][1] + 1 or not any(x.strip() for x in lines[merged[-1][1] + 1 : a])):
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
-                    rest, done = [], 0
-                    for a, b in merged:
-                        rest += lines[done:a]
-                        done = b + 1
-                    rest += lines[done:]
-                    values = "\n".join(rest), len(lines), sum(b - a + 1 for a, b in merged), [{"first": a, "last": b} for a, b in merged]
-                for to, value in zip(out, values):
-                    to.append(value)
-            types = (pa.string(), pa.int32(), pa.int32(), span)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, types))], names=["row", "new", *RESULTS])
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                # the text changes place with the new one, so that a row never holds both
+                fields, columns = list(part.column(0).type), part.column(0).flatten()
+                out = [list(x) for x in zip(*(without(*own) for own in zip(columns[at].to_pylist(), part.column(1).to_pylist())))]
+                columns[at] = pa.array(out[0], fields[at].type)
+                types = (pa.int32(), pa.int32(), span)
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=fields), *(pa.array(v, t) for v, t in zip(out[1:], types))], names=["row", *RESULTS])
 
     span = T.StructType([T.StructField(c, T.IntegerType()) for c in ("first", "last")])
-    results = (T.StringType(), T.IntegerType(), T.IntegerType(), T.ArrayType(span))
-    return joined.mapInArrow(run, T.StructType([joined.schema["row"], *(T.StructField(c, t) for c, t in zip(("new", *RESULTS), results))]))
+    results = (T.IntegerType(), T.IntegerType(), T.ArrayType(span))
+    return joined.mapInArrow(run, T.StructType([joined.schema["row"], *(T.StructField(c, t) for c, t in zip(RESULTS, results))]))
