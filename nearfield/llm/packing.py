@@ -67,14 +67,13 @@ class WordIds(dict):
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             whole = json.load(file)
         symbols = byte_symbols()
         # added tokens take part in no merge
         self.added = [own["content"] for own in whole["added_tokens"] if own["content"]]
-        self.whole = Tokenizer.from_file(path)
+        self.path, self.whole = path, None
         ranks = {bytes([symbols[c] for c in token]): i for token, i in whole["model"]["vocab"].items() if token not in self.added}
         self.model = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -93,6 +92,10 @@ class WordIds(dict):
         if not text:
             return b""
         if any(own in text for own in self.added):
+            if self.whole is None:  # rarely needed, and large
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.path)
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if UNSAFE.search(text):
             return self.encode(text)
