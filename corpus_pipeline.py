@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from nearfield.llm import jaccard, langid, linededup, mixing, packing
 from nearfield.llm.common import stored, table
