@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,16 @@ def text_key(*columns: Column | str) -> Column:
 HOT = 10_000
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of some rows, without empty ones. A worker is used again by later tasks: between batches and at
+    the end, memory that Arrow no longer needs goes back to the system."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """rows with _maybe: true where the key is among those of keys, and by chance elsewhere.
 

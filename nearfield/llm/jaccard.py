@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join, maybe_in, partitions, quoted, text_key
+from .common import cut, hot_join, maybe_in, partitions, quoted, sliced, text_key
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -49,7 +49,7 @@ CROWDED = 2 * BLOCK
 SEED = 17
 WORD = re.compile(r"[^\W_]+")
 #: Entries of a worker's table of word hashes; it is emptied when full.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 50_000
 
 
 class WordHash(dict):
@@ -132,16 +132,14 @@ def signatures(docs: DataFrame, words: int, trees: int, depth: int, floor: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keys, sizes, labels = [], [], []
-                for text in part.column(2).to_pylist():
-                    grams = shingles(text, words)
-                    sizes.append(len(grams))
-                    keys.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
-                    labels.append(prefixes(grams, trees, depth, floor).tobytes() if len(grams) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(labels, pa.binary())], names=["doc_id", "row_key", "set_key", "n", "labels"])
+        for part in sliced(batches, 256):
+            keys, sizes, labels = [], [], []
+            for text in part.column(2).to_pylist():
+                grams = shingles(text, words)
+                sizes.append(len(grams))
+                keys.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
+                labels.append(prefixes(grams, trees, depth, floor).tobytes() if len(grams) else None)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(labels, pa.binary())], names=["doc_id", "row_key", "set_key", "n", "labels"])
 
     return keyed(docs).mapInArrow(run, "doc_id long, row_key binary, set_key binary, n int, labels binary")
 
@@ -161,12 +159,10 @@ def gram_sets(docs: DataFrame, wanted: DataFrame, words: int, trees: int, depth:
     texts = near.join(wanted.select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                sets = [shingles(t, words) for t in part.column(1).to_pylist()]
-                deep = [further(g, trees, depth, floor).tobytes() for g in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g in sets], pa.binary()), pa.array(deep, pa.binary())], names=["row_key", "grams", "deep"])
+        for part in sliced(batches, 64):
+            sets = [shingles(t, words) for t in part.column(1).to_pylist()]
+            deep = [further(g, trees, depth, floor).tobytes() for g in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g in sets], pa.binary()), pa.array(deep, pa.binary())], names=["row_key", "grams", "deep"])
 
     return texts.mapInArrow(run, "row_key binary, grams binary, deep binary").join(wanted, "row_key").drop("row_key")
 
@@ -323,7 +319,7 @@ def verified(members: DataFrame, similarity: float, recall: float, trees: int, f
         def table() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["a", "b", "links"])
 
-        for batch in batches:
+        for batch in sliced(batches, BLOCK):
             for key, *row in zip(zip(*(c.to_pylist() for c in batch.columns[:3])), *(c.to_pylist() for c in batch.columns[3:])):
                 if key != now:
                     if len(rows) > 1:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, quoted
+from .common import cut, quoted, sliced
 
 #: Labelled rows of a language in the sample; one in CALIBRATION of them isn't fitted on, but sets the language's bound.
 PER_LANGUAGE = 1500
@@ -243,12 +243,10 @@ def _identified(docs: DataFrame, model: Model | None, keep: tuple[str, ...]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.string(), pa.float64(), pa.bool_(), pa.bool_(), pa.list_(pa.float64()))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                own = list(zip(*(model.value.predict(t) for t in part.column(place).to_pylist())))
-                names = [*(f"_{i}" for i in range(len(keep))), *(f"_{c}" for c in RESULTS)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(list(v), t) for v, t in zip(own, types))], names=names)
+        for part in sliced(batches, 512):
+            own = list(zip(*(model.value.predict(t) for t in part.column(place).to_pylist())))
+            names = [*(f"_{i}" for i in range(len(keep))), *(f"_{c}" for c in RESULTS)]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(list(v), t) for v, t in zip(own, types))], names=names)
 
     # a text that isn't among the kept columns comes last
     place = keep.index("text") if "text" in keep else len(keep)

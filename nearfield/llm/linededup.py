@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, hot_join, maybe_in, partitions, quoted, text_key
+from .common import cut, hot_join, maybe_in, partitions, quoted, sliced, text_key
 
 #: Words that a repeated run of whole lines must have. A passage of more than 50 words that begins or ends inside a line
 #: leaves fewer in whole lines.
@@ -57,7 +57,7 @@ def segments(docs: DataFrame, min_words: int) -> DataFrame:
     by_doc = numbered.groupBy("key", "doc_id").agg(F.max("again").alias("any"), F.array_sort(F.collect_set(F.struct("line", "id", "words", "again"))).alias("all")).where("any")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+        for batch in sliced(batches, SLICE):
             out: list[list] = [[], [], [], [], []]
             for key, doc_id, every_line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 run: list[dict] = []
@@ -107,7 +107,7 @@ def windows(found: DataFrame, min_words: int) -> DataFrame:
     """(key, doc_id, first, last, length, head, tail): the shortest windows of min_words words from and up to each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+        for batch in sliced(batches, SLICE):
             out: list[list] = [[] for _ in range(7)]
             for key, doc_id, lines, words, ranks in zip(*(c.to_pylist() for c in batch.columns)):
                 n, spans = len(lines), set()
@@ -203,15 +203,13 @@ def _deduped(docs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
-                # the text changes place with the new one, so that a row never holds both
-                fields, columns = list(part.column(0).type), part.column(0).flatten()
-                out = [list(x) for x in zip(*(without(*own) for own in zip(columns[at].to_pylist(), part.column(1).to_pylist())))]
-                columns[at] = pa.array(out[0], fields[at].type)
-                types = (pa.int32(), pa.int32(), span)
-                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=fields), *(pa.array(v, t) for v, t in zip(out[1:], types))], names=["row", *RESULTS])
+        for part in sliced(batches, SLICE):
+            # the text changes place with the new one, so that a row never holds both
+            fields, columns = list(part.column(0).type), part.column(0).flatten()
+            out = [list(x) for x in zip(*(without(*own) for own in zip(columns[at].to_pylist(), part.column(1).to_pylist())))]
+            columns[at] = pa.array(out[0], fields[at].type)
+            types = (pa.int32(), pa.int32(), span)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=fields), *(pa.array(v, t) for v, t in zip(out[1:], types))], names=["row", *RESULTS])
 
     span = T.StructType([T.StructField(c, T.IntegerType()) for c in ("first", "last")])
     results = (T.IntegerType(), T.IntegerType(), T.ArrayType(span))

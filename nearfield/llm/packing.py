@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sliced
 
 CAPACITY = 1024
 END = 2
 #: Lengths, evenly spread, at which a plan may go over from exact complements to best fit.
 STEPS = 16
 #: Entries of the table of encoded words in a Python worker; it is emptied when full.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: A space before white space, or at the end, isn't a place where the vocabulary's pattern always splits.
 UNSAFE = re.compile(r" (?:\s|\Z)")
@@ -127,22 +127,20 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = word_ids(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows: list[list] = [[], [], [], [], []]
-                raw = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    data = model.text(text or "") + last
-                    for i, (start, length) in enumerate(cut_lengths(len(data) // 4, capacity)):
-                        own = data[4 * start : 4 * (start + length)]
-                        for to, value in zip(rows, (doc_id, i, start, length, zlib.crc32(own))):
-                            to.append(value)
-                        if ids:
-                            raw.append(own)
-                arrays = [pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                yield pa.RecordBatch.from_arrays(arrays + [pa.array(raw, pa.binary())] * ids, names=names + ["ids"] * ids)
+        for part in sliced(batches, 512):
+            rows: list[list] = [[], [], [], [], []]
+            raw = []
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                data = model.text(text or "") + last
+                for i, (start, length) in enumerate(cut_lengths(len(data) // 4, capacity)):
+                    own = data[4 * start : 4 * (start + length)]
+                    for to, value in zip(rows, (doc_id, i, start, length, zlib.crc32(own))):
+                        to.append(value)
+                    if ids:
+                        raw.append(own)
+            arrays = [pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(raw, pa.binary())] * ids, names=names + ["ids"] * ids)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, SCHEMA + ", ids binary" * ids)
 
