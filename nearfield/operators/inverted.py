@@ -33,12 +33,13 @@ def postings(objects: DataFrame, tokens: Tokens | None = None) -> DataFrame:
     return objects.select(F.explode(tokens_of(objects)).alias("token"), "id")
 
 
-def overlap(queries: DataFrame, objects: DataFrame, t: int = 1, tokens: Tokens | None = None) -> DataFrame:
+def overlap(queries: DataFrame, objects: DataFrame, t: int = 1, tokens: Tokens | None = None, match: tuple[Column, ...] = ()) -> DataFrame:
     """(qid, id, i, m, n) of objects that share at least t tokens: shared, query's and object's sizes. tokens makes
-    an object's tokens, for a distance that needs others than its elements."""
+    an object's tokens, for a distance that needs others than its elements; match are further aggregates of a pair's
+    shared tokens (column token), with names of their own."""
     queries, objects = tokenised(queries, tokens), tokenised(objects, tokens)
     q = postings(queries.select(F.col("qid").alias("id"), "s")).withColumnRenamed("id", "qid")
-    shared = q.join(postings(objects), "token").groupBy("qid", "id").agg(F.count("*").alias("i")).where(F.col("i") >= t)
+    shared = q.join(postings(objects), "token").groupBy("qid", "id").agg(F.count("*").alias("i"), *match).where(F.col("i") >= t)
     sizes = lambda df, key, name: df.select(key, F.size(tokens_of(df)).alias(name))
     return shared.join(sizes(queries, "qid", "m"), "qid").join(sizes(objects, "id", "n"), "id")
 
@@ -49,11 +50,12 @@ def search(queries: DataFrame, objects: DataFrame, dist, k: int, t: int = 1, tok
     return ranked(scored, k)
 
 
-def threshold(queries: DataFrame, objects: DataFrame, t: int | None = None) -> DataFrame:
-    """(qid, id, n): ids in at least t of the query's posting lists; t=1 is the union, None the intersection of all."""
-    both = overlap(queries, objects)
+def threshold(queries: DataFrame, objects: DataFrame, t: int | None = None, match: tuple[Column, ...] = ()) -> DataFrame:
+    """(qid, id, n): ids in at least t of the query's posting lists; t=1 is the union, None the intersection of all. match
+    are further aggregates of the merge."""
+    both = overlap(queries, objects, match=match)
     least = F.col("m") if t is None else F.lit(t)
-    return both.where(F.col("i") >= least).select("qid", "id", F.col("i").alias("n"))
+    return both.where(F.col("i") >= least).select("qid", "id", F.col("i").alias("n"), *[c for c in both.columns if c not in ("qid", "id", "i", "m", "n")])
 
 
 def first_at_least(array, x):

@@ -170,6 +170,23 @@ def test_tokenizer_of_an_inverted_file(spark):
     assert {r["token"] for r in inverted.postings(words, shingles).where("id = 3").collect()} == {"zz"}
 
 
+def test_what_a_merge_gives(spark):
+    sets = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["b", "c"]), (3, ["c"])], "id long, s array<string>")
+    got = inverted.threshold(sets.withColumnRenamed("id", "qid"), sets, 2, (F.array_sort(F.collect_list("token")).alias("tokens"), F.min("token").alias("first")))
+    assert {(r["qid"], r["id"]): (r["n"], r["tokens"], r["first"]) for r in got.where("qid = 1 and id > 1").collect()} == {(1, 2): (2, ["b", "c"], "b")}
+
+
+def test_near_duplicates_of_a_query_are_thinned(e):
+    near = search.knn(catalogue.asked(e), e, D.L2, 32).where("qid <> id")
+    plain, spared = joins.hsp(near, e, D.L2), joins.hsp(near, e, D.L2, near=1.3, seed=4)
+    again = joins.hsp(near, e, D.L2, near=1.3, seed=4)
+    rows = lambda df: sorted((r["qid"], r["id"]) for r in df.collect())
+    assert rows(spared) == rows(again) and rows(joins.hsp(near, e, D.L2, near=-1.0)) == rows(plain) != rows(spared)
+    # each one kept within the bound halves the chance of the next: few stay
+    few = spared.where("dist <= 1.3").groupBy("qid").count().agg(F.avg("count")).first()[0]
+    assert 1 <= few < 9
+
+
 def test_codes_must_fill_bytes(spark):
     for bits, dim in ((4, 17), (2, 18)):
         df = spark.createDataFrame([(1, [float(i) for i in range(dim)])], "id long, v array<double>")
