@@ -18,7 +18,6 @@ separate documents, and rows that are wholly equal are interchangeable; an empty
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,11 +32,7 @@ CAPACITY = 1024
 END = 2
 #: Lengths, evenly spread, at which a plan may go over from exact complements to best fit.
 STEPS = 16
-#: Entries of the table of encoded words in a Python worker; it is emptied when full.
-CACHED_WORDS = 150_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: A space before white space, or at the end, isn't a place where the vocabulary's pattern always splits.
-UNSAFE = re.compile(r" (?:\s|\Z)")
 
 
 def tokenizer_path() -> str:
@@ -53,14 +48,9 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
-class WordIds(dict):
-    """Little-endian ids of words; the pattern of byte-level vocabularies always splits before a space and a non-space,
-    so a text's ids are those of its words, each with the space before it.
-
-    The vocabulary is the tokenizer file's. Words that aren't in the table are merged by a second implementation of
-    byte-pair merging over the same vocabulary, whose ids are equal (tests hold them against the first) and which takes
-    a tenth of the time for a single word.
-    """
+class TextIds:
+    """Little-endian ids of texts. The vocabulary is the tokenizer file's; texts are merged by a second implementation of
+    byte-pair merging over it, whose ids are equal (tests hold them against the first) and which takes less time."""
 
     def __init__(self, path: str):
         import json
@@ -75,41 +65,25 @@ class WordIds(dict):
         self.added = [own["content"] for own in whole["added_tokens"] if own["content"]]
         self.path, self.whole = path, None
         ranks = {bytes([symbols[c] for c in token]): i for token, i in whole["model"]["vocab"].items() if token not in self.added}
-        self.model = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(self, text: str) -> bytes:
-        return np.asarray(self.model.encode_ordinary(text), dtype="<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.encode(word)
-        if len(word) <= 64:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = found
-        return found
+        self.model = tiktoken.Encoding("texts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def text(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(own in text for own in self.added):
-            if self.whole is None:  # rarely needed, and large
-                from tokenizers import Tokenizer
+        if not any(own in text for own in self.added):
+            return np.asarray(self.model.encode_ordinary(text), dtype="<u4").tobytes()
+        if self.whole is None:  # rarely needed, and large
+            from tokenizers import Tokenizer
 
-                self.whole = Tokenizer.from_file(self.path)
-            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if UNSAFE.search(text):
-            return self.encode(text)
-        first, *rest = text.split(" ")
-        return (self[first] if first else b"") + b"".join([self[" " + word] for word in rest])
+            self.whole = Tokenizer.from_file(self.path)
+        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
-_MODELS: dict[str, WordIds] = {}
+_MODELS: dict[str, TextIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def text_ids(path: str) -> TextIds:
     """The worker's own tokenizer."""
     if path not in _MODELS:
-        _MODELS[path] = WordIds(path)
+        _MODELS[path] = TextIds(path)
     return _MODELS[path]
 
 
@@ -126,7 +100,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     last = int(end).to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = word_ids(path)
+        model = text_ids(path)
         for part in sliced(batches, 512):
             rows: list[list] = [[], [], [], [], []]
             raw = []

@@ -148,7 +148,7 @@ def test_pack_plan_is_no_worse_than_best_fit():
 def test_ids_are_the_tokenizer_s(spark):
     from tokenizers import Tokenizer
 
-    model, words = Tokenizer.from_file(packing.tokenizer_path()), packing.word_ids(packing.tokenizer_path())
+    model, words = Tokenizer.from_file(packing.tokenizer_path()), packing.text_ids(packing.tokenizer_path())
     texts = ["a  b", "a \n b", "\n \nx y", " lead", "tail ", "a\n \nb", "it's don't 12 34abc", "  x", "x\u0085y z", "日本 語", "🙂 🙂🙂", "a  b", ""]
     texts += [r["text"] for r in docs_of(spark).limit(50).collect()]
     for text in texts:

@@ -40,7 +40,7 @@ def test_query_rows_are_the_documents_ids(spark):
 
 
 def test_names_of_added_tokens_are_the_tokenizer_s():
-    model, words = tokenizer(), packing.word_ids(packing.tokenizer_path())
+    model, words = tokenizer(), packing.text_ids(packing.tokenizer_path())
     texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", "|endoftext|> <|", " <|endoftext|>\n\n <|endoftext|>  x ", "é<|endoftext|>é"]
     for text in texts:
         assert np.frombuffer(words.text(text), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
