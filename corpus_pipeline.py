@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.llm import jaccard, langid, linededup, mixing, packing
-from nearfield.llm.common import stored, table
+from nearfield.llm.common import small_batches, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +14,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts and those without letters go, as do foreign ones; with no labelled row all go. Repeated rows go
     or stay alike; columns may have any name.
     """
+    small_batches(spark)
     return langid.known_only(docs)
 
 
@@ -22,6 +23,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts stay; rows equal in doc_id and text are one document; columns may have any name.
     """
+    small_batches(spark)
     return linededup.cleaned(docs, length="n_chars")
 
 
@@ -31,6 +33,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words (null and empty ones) all stay, but rows equal in doc_id and text are one; columns may have any
     name.
     """
+    small_batches(spark)
     return jaccard.representatives(docs)
 
 
@@ -47,6 +50,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null text is empty, one piece of the end token; repeated rows are documents each; other columns don't matter.
     """
+    small_batches(spark)
     return packing.pack(docs)
 
 

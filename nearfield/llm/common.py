@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Size of the bitmap of maybe_in(), in words of 32 bits.
 FILTER_WORDS = 1 << 18
+#: Bytes after which an Arrow batch for a Python worker is closed; a longer row still goes whole.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +81,16 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
         pa.default_memory_pool().release_unused()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on, the session's Arrow batches for Python workers are closed at BATCH_BYTES, unless it has a bound of its own.
+
+    Spark's is 64 MB, and a task holds a batch several times: where it is written, in the worker and where it is read.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, BATCH_BYTES)
+
+
 def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """rows with _maybe: true where the key is among those of keys, and by chance elsewhere.
 

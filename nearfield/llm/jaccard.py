@@ -445,7 +445,8 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, tr
         ball = balls(crowd, crowded, similarity)
         dealt = in_parts(inside.join(ball, "class", "left"))
     else:
-        ball = spark.createDataFrame([], "class long, ball long")
+        # no list of Python rows: executors would start a second set of Python workers for it
+        ball = spark.range(0).select(F.col("id").alias("class"), F.col("id").alias("ball"))
         dealt = inside.select("bucket", "class", "trees", F.lit(None).cast("long").alias("ball"), F.col("blocks").alias("own"), F.lit(0).alias("from"), F.col("blocks").alias("all"))
     dealt = dealt.withColumn("block", F.col("from") + F.pmod(F.xxhash64("class", F.lit(3)), F.col("own")).cast("int"))
     # a class of block x meets every block y: the pairs (min, max), on the side of its own block

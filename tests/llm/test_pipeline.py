@@ -6,8 +6,10 @@ from collections import Counter
 import corpus_pipeline
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from nearfield.llm import catalogue, common, jaccard, langid, linededup, packing
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -164,3 +166,36 @@ def test_pack_of_odd_documents(spark, odd):
     got = STAGES["pack"](spark, odd, DATA).collect()
     assert Counter(x["doc_id"] for x in got if x["piece"] == 0) == Counter(d for d, *_ in ODD)
     assert STAGES["pack"](spark, odd.limit(0), DATA).collect() == []
+
+
+def test_near_starts_no_second_set_of_workers(spark, odd, monkeypatch):
+    def fail(*args, **options):
+        raise AssertionError("rows of a Python list go through Python workers of their own")
+
+    given = odd.limit(20)
+    monkeypatch.setattr(type(spark), "createDataFrame", fail)
+    assert STAGES["near"](spark, given, DATA).count()
+
+
+@pytest.mark.parametrize("name", ["language", "lines", "near", "pack"])
+def test_workers_get_small_batches(spark, odd, name):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    key, text = "spark.sql.execution.arrow.maxBytesPerBatch", F.repeat(F.lit("x"), 1 << 20)
+    large = spark.range(0, 12, 1, 1).select(text.alias("text"))
+    given = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        STAGES[name](spark, odd, DATA)
+        got = [x["n"] for x in large.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) == 12 and max(got) <= 3
+        # a session's own bound stays
+        spark.conf.set(key, "12345678")
+        STAGES[name](spark, odd, DATA)
+        assert spark.conf.get(key) == "12345678"
+    finally:
+        spark.conf.unset(key)
+        if given is not None:
+            spark.conf.set(key, given)
