@@ -69,3 +69,31 @@ def test_queries_with_bounds_of_their_own(spark):
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
         order = [j for j in np.lexsort((np.arange(400), d)) if i % 3 or d[j] <= 1.0]
         assert got[i] == (order[:3] if i % 2 == 0 else order)
+
+
+@pytest.mark.parametrize("name", ["bits_hamming", "bits_russellrao", "bits_rogerstanimoto"])
+def test_bit_kernels(spark, name):
+    # every pair used to be computed by an interpreted expression and sorted
+    rng = np.random.default_rng(4)
+    rows = [(i, [int(a) for a in rng.integers(-(2**63), 2**63 - 1, 2)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    both = df.alias("a").join(df.alias("b"), F.lit(True)).select(F.col("a.id").alias("qid"), F.col("b.id").alias("id"), D.BITS[name](F.col("a.v"), F.col("b.v")).alias("dist"))
+    want = {(r["qid"], r["rank"]): (r["id"], r["dist"]) for r in search.ranked(both, 7).collect()}
+    assert D.BITS[name].block is not None
+    assert {(r["qid"], r["rank"]): (r["id"], r["dist"]) for r in search.knn(df.withColumnRenamed("id", "qid"), df, D.BITS[name], 7).collect()} == want
+
+
+def test_whole_numbers_are_exact(spark):
+    assert D.DOT.product is not None
+    x = np.random.default_rng(4).integers(0, 256, (200, 16))
+    df = spark.createDataFrame([(i, [int(c) for c in v]) for i, v in enumerate(x)], "id long, v array<int>")
+    got = {(r["qid"], r["rank"]): (r["id"], r["dist"]) for r in search.knn(df.withColumnRenamed("id", "qid"), df, D.DOT, 5).collect()}
+    for i in range(200):
+        d = -(x @ x[i])
+        assert [got[i, n + 1] for n in range(5)] == [(j, d[j]) for j in np.lexsort((np.arange(200), d))[:5]]
+
+
+def test_small_slots_are_not_merged(spark):
+    # slots used to be merged by size, so that all pairs met in a few tasks
+    e = spark.range(100).select("id", F.col("id").alias("v"))
+    assert search.pairs(e.withColumnRenamed("id", "qid"), e).select(F.spark_partition_id().alias("p")).distinct().count() > 3
