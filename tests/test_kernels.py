@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.functions import distances as D
-from nearfield.operators import kernels, search
+from nearfield.operators import graph, inverted, kernels, search, select
 
 
 def table(spark, x, key="id", kind="float"):
@@ -97,3 +97,34 @@ def test_small_slots_are_not_merged(spark):
     # slots used to be merged by size, so that all pairs met in a few tasks
     e = spark.range(100).select("id", F.col("id").alias("v"))
     assert search.pairs(e.withColumnRenamed("id", "qid"), e).select(F.spark_partition_id().alias("p")).distinct().count() > 3
+
+
+@pytest.mark.parametrize("kind", ["cosine", "normcosine", "angle", "normangle"])
+def test_sparse_cells_are_exact(spark, kind, monkeypatch):
+    # joins by term used to make a row for each pair and term shared
+    monkeypatch.setattr(inverted, "HELD", 8 * 8 * 60)
+    monkeypatch.setattr(inverted, "OWN", 6)
+    monkeypatch.setattr(inverted, "SPARSE_TILE", (16, 64))
+    rng = np.random.default_rng(6)
+    w = np.where(rng.random((200, 40)) < 0.15, rng.integers(1, 4, (200, 40)), 0).astype(float)
+    w[150:170], w[:, :2] = w[10:30], np.where(rng.random((200, 2)) < 0.9, 1, w[:, :2])
+    df = spark.createDataFrame([(i, f"t{t}", float(w[i, t])) for i in range(200) for t in np.flatnonzero(w[i])], "id long, term string, w double")
+    own = select.cut(inverted.normalised(df) if kind.startswith("norm") else df)
+    got = {}
+    for r in inverted.sparse_search(own.where("id % 4 = 0"), own, kind, 5).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["id"], round(r["dist"], 9)))
+    dot = np.round((w @ w.T) / np.outer(np.linalg.norm(w, axis=1), np.linalg.norm(w, axis=1)), 12)
+    d = 1 - dot if "cosine" in kind else np.arccos(np.clip(dot, -1, 1))
+    for i in range(0, 200, 4):
+        shared = [j for j in np.lexsort((np.arange(200), d[i])) if (w[i] * w[j]).any()][:5]
+        assert [g[1] for g in got[i]] == [round(d[i, j], 9) for j in shared]
+        if kind != "cosine":
+            assert [g[0] for g in got[i]] == shared
+
+
+def test_graphs_are_stored(spark):
+    # each round of a search used to build its graph anew
+    e = table(spark, np.random.default_rng(2).normal(0, 1, (100, 4)))
+    assert "ExistingRDD" in graph.build(e, D.L2)._jdf.queryExecution().toString()
+    both = graph.reverse_links(spark.range(5).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Range") == 1 and both.count() == 10
