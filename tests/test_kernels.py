@@ -128,3 +128,13 @@ def test_graphs_are_stored(spark):
     assert "ExistingRDD" in graph.build(e, D.L2)._jdf.queryExecution().toString()
     both = graph.reverse_links(spark.range(5).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
     assert both._jdf.queryExecution().optimizedPlan().toString().count("Range") == 1 and both.count() == 10
+
+
+def test_edit_distances_of_blocks(spark):
+    rng = np.random.default_rng(8)
+    words = ["", "é", "ab"] + ["".join(rng.choice(list("abcé"), n)) for n in (1, 3, 63, 64, 65, 90, 128, 129, 130, 200)] * 2
+    df = spark.createDataFrame(list(enumerate(words)), "id long, v string")
+    assert (D.edit_block(*[np.array([[1, 5, *[-1] * 99]])] * 2) == 0).all()  # much padding
+    want = {(r["qid"], r["id"]): r["dist"] for r in search.knn_expression(df.withColumnRenamed("id", "qid"), df, D.SEQS["levenshtein"], 99).collect()}
+    got = {(r["qid"], r["id"]): r["dist"] for r in search.knn_sequences(df.withColumnRenamed("id", "qid"), df, 99).collect()}
+    assert got == want and len(got) == len(words) ** 2
