@@ -138,3 +138,11 @@ def test_edit_distances_of_blocks(spark):
     want = {(r["qid"], r["id"]): r["dist"] for r in search.knn_expression(df.withColumnRenamed("id", "qid"), df, D.SEQS["levenshtein"], 99).collect()}
     got = {(r["qid"], r["id"]): r["dist"] for r in search.knn_sequences(df.withColumnRenamed("id", "qid"), df, 99).collect()}
     assert got == want and len(got) == len(words) ** 2
+
+
+def test_sparse_with_dense_makes_no_row_a_term(spark):
+    dense = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [0.0, -1.0, 0.5])], "qid long, v array<double>")
+    sparse = spark.createDataFrame([(7, 0, 2.0), (7, 2, 1.0), (7, 2, 1.0), (8, 1, 4.0), (9, 5, 1.0)], "id long, term long, w double")
+    got = inverted.sparse_dense_dot(sparse, dense)
+    assert {(r["qid"], r["id"], r["dot"]) for r in got.collect()} == {(1, 7, 8.0), (1, 8, 8.0), (2, 7, 1.0), (2, 8, -4.0)}
+    assert "posexplode" not in got._jdf.queryExecution().toString()
