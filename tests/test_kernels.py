@@ -146,3 +146,16 @@ def test_sparse_with_dense_makes_no_row_a_term(spark):
     got = inverted.sparse_dense_dot(sparse, dense)
     assert {(r["qid"], r["id"], r["dot"]) for r in got.collect()} == {(1, 7, 8.0), (1, 8, 8.0), (2, 7, 1.0), (2, 8, -4.0)}
     assert "posexplode" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("block, own", [(None, True), (16, True), (16, False)])
+def test_nets_make_no_list_of_all_links(spark, block, own, monkeypatch):
+    # all pairs within epsilon used to be listed: of copies, the square of their number
+    monkeypatch.setattr(select, "ROUND", 50)
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (300, 3))
+    x[200:260] = x[3]
+    e = table(spark, x, kind="double")
+    links = search.within(e.select(F.col("id").alias("qid"), "v"), e, D.L2, 0.6)
+    same = lambda df: sorted((r["id"], r["nn"], r["kept"], round(r["dist"], 9)) for r in df.collect())
+    assert same(select.near_duplicates(e, D.L2, 0.6, block, own)) == same(select.near_duplicates(e, D.L2, 0.6, block, own, links=links))
