@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfield.functions import distances as D
-from nearfield.operators import graph, inverted, kernels, search, select
+from nearfield.operators import graph, inverted, kernels, sat, search, select
 
 
 def table(spark, x, key="id", kind="float"):
@@ -159,3 +159,22 @@ def test_nets_make_no_list_of_all_links(spark, block, own, monkeypatch):
     links = search.within(e.select(F.col("id").alias("qid"), "v"), e, D.L2, 0.6)
     same = lambda df: sorted((r["id"], r["nn"], r["kept"], round(r["dist"], 9)) for r in df.collect())
     assert same(select.near_duplicates(e, D.L2, 0.6, block, own)) == same(select.near_duplicates(e, D.L2, 0.6, block, own, links=links))
+
+
+def test_trees_are_searched_by_subtrees(spark, monkeypatch):
+    # an exact search used to pass on the vectors of every pair, level by level
+    monkeypatch.setattr(sat, "LIMIT", 40)
+    e = table(spark, np.random.default_rng(7).normal(0, 1, (300, 5)))
+    tree = sat.build(e, D.L2, parts=2)
+    parent = {r["id"]: r["parent"] for r in tree.collect()}
+    depth, own = sat.subtrees(tree)
+    at = {r["id"]: r["depth"] for r in tree.collect()}
+    for r in own.collect():
+        top = r["id"]
+        while at[top] > depth:
+            top = parent[top]
+        assert top == r["center"]
+    assert own.count() == sum(d >= depth for d in at.values())
+    rows = lambda df: {(r["qid"], r["rank"]): r["id"] for r in df.collect()}
+    q = e.where("id % 10 = 0").withColumnRenamed("id", "qid")
+    assert rows(sat.search(q, tree, D.L2, 5)) == rows(search.knn(q, e, D.L2, 5))
